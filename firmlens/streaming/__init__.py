@@ -1,0 +1 @@
+"""Empty on purpose: every operator this engine covers works on a finite table."""

@@ -44,3 +44,16 @@ def combined_content(linked: DataFrame) -> DataFrame:
             )
         )
     )
+
+
+def readable_companies(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Companies with at least one linked page that has text."""
+    joined = fan_out_join(
+        links.select("company_id", "url"),
+        pages.select("url", "html"),
+        "url",
+        ["company_id"],
+        prepare=lambda found: found.where(markdown(F.col("html")) != "").select("url", SALTS),
+        how="inner",
+    )
+    return joined.select("company_id").distinct()

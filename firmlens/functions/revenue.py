@@ -1,8 +1,6 @@
 """Revenue figures in a sentence: amount, currency, scale and year."""
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.text import lookup
@@ -37,6 +35,8 @@ AMOUNT = CURRENCY + r"\s*" + NUMBER + SCALE
 AFTER_KEYWORD = r"(?i)(?:^|[^\p{L}\p{N}])" + KEYWORD + r"[^\p{L}\p{N}](?:[^\n]{0,78}?[^\p{L}\p{N}])??" + AMOUNT
 BEFORE_KEYWORD = r"(?i)(?:^|[^\p{L}\p{N}])" + AMOUNT + r"[^\n]{0,80}?" + KEYWORD + r"(?:[^\p{L}\p{N}]|$)"
 
+FIRST_AMOUNT = r"(?i)(?:^|[^\p{L}\p{N}])" + AMOUNT
+
 YEAR = r"(?:19|20)[0-9]{2}"
 # First year of the rest of the sentence, and last year of its beginning.
 YEAR_AFTER = r"^([^\n]*?[^0-9.,])?(" + YEAR + r")(?:[^0-9]|$)"
@@ -49,16 +49,6 @@ GROWTH = (
 MARKET_CAP = r"(?i)market cap(?:itali[sz]ation)?[^\n]{0,40}?[^\p{L}\p{N}]" + AMOUNT
 
 
-@dataclass
-class Figure:
-    """Columns of one revenue figure; all null (or "") when none is found."""
-
-    found: Column
-    text: Column
-    year: Column
-    usd: Column
-
-
 def _amount_text(symbol: Column, number: Column, scale: Column) -> Column:
     return F.concat_ws(
         " ",
@@ -68,11 +58,11 @@ def _amount_text(symbol: Column, number: Column, scale: Column) -> Column:
     )
 
 
-def nearest_year(sentence: Column, amount: Column) -> Column:
-    """The year closest to the amount in its sentence, the later one on a tie."""
-    at = F.instr(sentence, amount)
-    head = F.substring(sentence, F.lit(1), at - F.lit(1))
-    tail = F.substring(sentence, at + F.length(amount), F.length(sentence))
+def nearest_year(head: Column, tail: Column) -> Column:
+    """The year closest to an amount, from the text before and after it.
+
+    On a tie the year after the amount counts.
+    """
     after, before = F.regexp_extract(tail, YEAR_AFTER, 2), F.regexp_extract(head, YEAR_BEFORE, 1)
     gap_after = F.length(F.regexp_extract(tail, YEAR_AFTER, 1))
     gap_before = F.length(F.regexp_extract(head, YEAR_BEFORE, 2))
@@ -92,21 +82,39 @@ def to_usd(symbol: Column, number: Column, scale: Column, rates: dict = USD_RATE
     return (plain * rate).try_cast("decimal(38,2)")
 
 
-def revenue_figure(sentence: Column, rates: dict = USD_RATES) -> Figure:
-    """The first revenue figure of a sentence."""
-    forward = F.regexp_extract(sentence, AFTER_KEYWORD, 2) != ""
+def with_figure(df: DataFrame, sentence: Column, where: Column, rates: dict = USD_RATES) -> DataFrame:
+    """Add the first revenue figure of a sentence: ``amount, amount_year, amount_usd``.
 
-    def part(group: int) -> Column:
-        return F.when(forward, F.regexp_extract(sentence, AFTER_KEYWORD, group)).otherwise(
-            F.regexp_extract(sentence, BEFORE_KEYWORD, group)
+    All three are null where ``where`` is false or nothing is found.
+    """
+    after = F.when(where, F.regexp_extract(sentence, AFTER_KEYWORD, 0))
+    before = F.regexp_extract(sentence, BEFORE_KEYWORD, 0)
+    figure = F.col("_figure")
+    found = df.withColumn("_figure", after).withColumn(
+        "_figure", F.nullif(F.when(figure == "", before).otherwise(figure), F.lit(""))
+    )
+    parts = {
+        name: F.regexp_extract(figure, FIRST_AMOUNT, group)
+        for group, name in enumerate(("_symbol", "_number", "_scale"), 1)
+    }
+    symbol, number, scale = (F.col(name) for name in parts)
+    return (
+        found.withColumns(parts)
+        .withColumn("_at", F.instr(sentence, number))
+        .withColumns(
+            {
+                "_head": F.substring(sentence, F.lit(1), F.col("_at") - 1),
+                "_tail": F.substring(sentence, F.col("_at") + F.length(number), F.length(sentence)),
+            }
         )
-
-    symbol, number, scale = part(1), part(2), part(3)
-    return Figure(
-        found=number != "",
-        text=_amount_text(symbol, number, scale),
-        year=nearest_year(sentence, number),
-        usd=to_usd(symbol, number, scale, rates),
+        .withColumns(
+            {
+                "amount": F.when(figure.isNotNull(), _amount_text(symbol, number, scale)),
+                "amount_year": nearest_year(F.col("_head"), F.col("_tail")),
+                "amount_usd": to_usd(symbol, number, scale, rates),
+            }
+        )
+        .drop("_figure", *parts, "_at", "_head", "_tail")
     )
 
 

@@ -102,34 +102,28 @@ def kind_of_search(search_type: Column) -> Column:
     return F.when(F.lower(search_type) == REVENUE, F.lit("revenue")).otherwise(F.lit("erp"))
 
 
-def _flag(condition: Column) -> Column:
-    return F.coalesce(condition, F.lit(False)).cast("int")
-
-
-def link_rating(text: Column, kind: str) -> tuple[Column, Column]:
-    """Score 1-10 and reason of a link, from its ``padded`` text, for one kind.
-
-    Relevance counts 70 %, credibility 20 %, free access 10 %; whole numbers only.
-    """
+def categories(text: Column, kind: str) -> tuple[Column, Column]:
+    """Names of the useful and of the unwanted categories that a ``padded`` text is in."""
     brand = X.has_any(text, BRANDS)
-    reasons, relevance = [], F.lit(0)
-    for category, terms in PRIORITIZE[kind].items():
-        hit = X.has_any(text, terms)
-        relevance = relevance + _flag(hit)
-        reasons.append(F.when(hit, F.lit(category)))
+    useful = [F.when(X.has_any(text, terms), F.lit(c)) for c, terms in PRIORITIZE[kind].items()]
+    unwanted = []
     for category, terms in AVOID[kind].items():
         hit = X.has_any(text, terms)
         if kind == "erp" and category == JOB_CATEGORY:
             hit = hit & ~brand
-        relevance = relevance - _flag(hit)
-        reasons.append(F.when(hit, F.lit("avoid " + category)))
-    relevance = F.greatest(F.lit(0), F.least(F.lit(2), relevance))
-    credible = X.has_any(text, CREDIBLE)
-    gated = X.has_any(text, GATED)
-    points = F.lit(35) * relevance + F.lit(20) * _flag(credible) + F.lit(10) * _flag(~gated)
-    score = F.lit(1) + F.floor(points * F.lit(9) / F.lit(100)).cast("int")
-    reasons += [F.when(credible, F.lit("credible source")), F.when(gated, F.lit("gated"))]
-    return score, F.concat_ws(", ", *reasons)
+        unwanted.append(F.when(hit, F.lit("avoid " + category)))
+    return F.array(*useful), F.array(*unwanted)
+
+
+def link_score(n_useful: Column, n_unwanted: Column, credible: Column, gated: Column) -> Column:
+    """Score 1-10: relevance 70 %, credibility 20 %, free access 10 %; whole numbers only."""
+    relevance = F.greatest(F.lit(0), F.least(F.lit(2), n_useful - n_unwanted))
+    points = (
+        F.lit(35) * relevance
+        + F.lit(20) * credible.cast("int")
+        + F.lit(10) * (~gated).cast("int")
+    )
+    return (F.lit(1) + F.floor(points * F.lit(9) / F.lit(100))).cast("int")
 
 
 def revenue_range(usd: Column) -> Column:

@@ -37,6 +37,14 @@ def top_scored(scores: DataFrame, count: int = LINKS_PER_SEARCH) -> DataFrame:
     return _best(scores, REQUEST, count)
 
 
+def first_links(links: DataFrame) -> DataFrame:
+    """The first link per request and url; shrinks map-side."""
+    first = F.min(F.struct("pos", "title", "snippet")).alias("hit")
+    return links.groupBy(*REQUEST, "url").agg(first).select(
+        *REQUEST, "hit.pos", "hit.title", "url", "hit.snippet"
+    )
+
+
 def curate_links(
     links: DataFrame,
     scores: DataFrame,
@@ -49,14 +57,17 @@ def curate_links(
     sides shrink before they move: links to the first position per url, scores to
     the ``count`` best per url, which are all that can reach the first places.
     """
-    first = links.groupBy(*REQUEST, "url").agg(
-        F.min(F.struct("pos", "title", "snippet")).alias("hit")
-    )
     best_per_url = _best(scores.where(F.col("score") >= min_score), [*REQUEST, "url"], count)
-    matched = best_per_url.drop("rank").join(first, [*REQUEST, "url"])
-    return _best(matched, REQUEST, count).select(
-        *REQUEST, "rank", "hit.pos", "hit.title", "url", "hit.snippet"
-    )
+    matched = best_per_url.drop("rank").join(first_links(links), [*REQUEST, "url"])
+    return _best(matched, REQUEST, count).select(*REQUEST, "rank", "pos", "title", "url", "snippet")
+
+
+def curate_rated(
+    rated: DataFrame, min_score: int = MIN_LINK_SCORE, count: int = LINKS_PER_SEARCH
+) -> DataFrame:
+    """Best links of each request when the links carry their scores already."""
+    scored = rated.where(F.col("score") >= min_score).withColumn("scored_pos", F.col("pos"))
+    return _best(scored, REQUEST, count).select(*REQUEST, "rank", "pos", "title", "url", "snippet")
 
 
 def fallback_links(

@@ -69,40 +69,47 @@ def page_evidence(pages: DataFrame, lexicons: Lexicons) -> DataFrame:
     with the words of its sentence.
     """
     kept = [c for c in pages.columns if c != "markdown"]
-    sentence = F.col("sentence")
-    split = pages.where(F.trim("markdown") != "").select(
-        *kept, F.posexplode(X.sentences(F.col("markdown"))).alias("at", "sentence")
-    )
+    sentence, lower = F.col("sentence"), F.col("lower")
     all_terms = [t for group in (lexicons.sizes, lexicons.types) for ts in group.values() for t in ts]
-    # One cheap test per sentence before the costly patterns.
-    telling = X.has_any(F.col("words"), [*lexicons.brands, *all_terms]) | F.lower(
-        sentence
-    ).rlike("revenue|turnover|sales|market cap")
-    split = (
-        split.withColumn("words", X.padded(sentence))
-        .withColumn("telling", telling)
-        .where(F.col("telling") | (F.col("at") == 0))
-    )
-    figure = R.revenue_figure(sentence, lexicons.usd_rates)
+    told = (
+        pages.where(F.trim("markdown") != "")
+        .select(*kept, F.posexplode(X.sentences(F.col("markdown"))).alias("at", "sentence"))
+        .withColumns({"words": X.padded(sentence), "lower": F.lower(sentence)})
+        .withColumns(
+            {
+                "named": X.has_any(F.col("words"), [*lexicons.brands, *all_terms]),
+                "money": lower.contains("revenue")
+                | lower.contains("turnover")
+                | lower.contains("sales"),
+                "cap": lower.contains("market cap"),
+            }
+        )
+        .where(F.col("named") | F.col("money") | F.col("cap") | (F.col("at") == 0))
+    )
+    # Each step is a column of its own, so that no pattern runs twice.
+    figured = R.with_figure(told, sentence, F.col("money"), lexicons.usd_rates).withColumns(
+        {
+            "growth": F.when(F.col("money"), R.growth_rate(sentence)),
+            "market_cap": F.when(F.col("cap"), R.market_cap(sentence)),
+        }
+    )
     context = X.has_any(F.col("words"), lexicons.context)
+    none = F.array().cast(EVIDENCE)
     items = F.concat(
-        F.when(F.col("at") == 0, F.array(_item(PAGE, F.lit(""))).cast(EVIDENCE)).otherwise(
-            F.array().cast(EVIDENCE)
-        ),
+        F.when(F.col("at") == 0, F.array(_item(PAGE, F.lit(""))).cast(EVIDENCE)).otherwise(none),
         F.when(
-            F.col("telling"),
+            F.col("named"),
             F.concat(
                 _terms(ERP_BRAND, F.col("words"), {b: [b] for b in lexicons.brands}, context),
                 _terms(SIZE, F.col("words"), lexicons.sizes),
                 _terms(TYPE, F.col("words"), lexicons.types),
-                _one(REVENUE, F.when(figure.found, figure.text).otherwise(F.lit("")),
-                     year=figure.year, usd=figure.usd),
-                _one(GROWTH, R.growth_rate(sentence)),
-                _one(MARKET_CAP, R.market_cap(sentence)),
             ),
-        ).otherwise(F.array().cast(EVIDENCE)),
+        ).otherwise(none),
+        _one(REVENUE, F.col("amount"), year=F.col("amount_year"), usd=F.col("amount_usd")),
+        _one(GROWTH, F.col("growth")),
+        _one(MARKET_CAP, F.col("market_cap")),
     )
-    return split.select(*kept, "words", F.inline(items))
+    return figured.select(*kept, "words", F.inline(items))
 
 
 def link_evidence(

@@ -9,19 +9,42 @@ from firmlens.functions.joins import small
 from firmlens.operators.curate import REQUEST
 
 
+def rate_links(links: DataFrame) -> DataFrame:
+    """Links with ``score`` and ``reason`` by the rubric of their search type. No shuffle.
+
+    Each test is a column of its own, so that no pattern runs twice per link.
+    """
+    text = F.col("_text")
+    is_revenue = rubric.kind_of_search(F.col("search_type")) == "revenue"
+    revenue_useful, revenue_unwanted = rubric.categories(text, "revenue")
+    erp_useful, erp_unwanted = rubric.categories(text, "erp")
+    tested = links.withColumn("_text", X.padded(F.concat_ws(" ", "title", "snippet", "url"))).withColumns(
+        {
+            "_useful": F.array_compact(F.when(is_revenue, revenue_useful).otherwise(erp_useful)),
+            "_unwanted": F.array_compact(
+                F.when(is_revenue, revenue_unwanted).otherwise(erp_unwanted)
+            ),
+            "_credible": X.has_any(text, rubric.CREDIBLE),
+            "_gated": X.has_any(text, rubric.GATED),
+        }
+    )
+    score = rubric.link_score(
+        F.size("_useful"), F.size("_unwanted"), F.col("_credible"), F.col("_gated")
+    )
+    reason = F.concat_ws(
+        ", ",
+        "_useful",
+        "_unwanted",
+        F.when(F.col("_credible"), F.lit("credible source")),
+        F.when(F.col("_gated"), F.lit("gated")),
+    )
+    return tested.select(*links.columns, score.alias("score"), reason.alias("reason"))
+
+
 def score_links(links: DataFrame) -> DataFrame:
-    """Score rows of all links, by the rubric of their search type. No shuffle."""
-    kind = rubric.kind_of_search(F.col("search_type"))
-    rated = links.withColumn("_text", X.padded(F.concat_ws(" ", "title", "snippet", "url")))
-    revenue_score, revenue_reason = rubric.link_rating(F.col("_text"), "revenue")
-    erp_score, erp_reason = rubric.link_rating(F.col("_text"), "erp")
-    is_revenue = kind == "revenue"
-    return rated.select(
-        *REQUEST,
-        F.col("pos").alias("scored_pos"),
-        "url",
-        F.when(is_revenue, revenue_score).otherwise(erp_score).alias("score"),
-        F.when(is_revenue, revenue_reason).otherwise(erp_reason).alias("reason"),
+    """Score rows of all links, as a model's response would give them."""
+    return rate_links(links).select(
+        *REQUEST, F.col("pos").alias("scored_pos"), "url", "score", "reason"
     )
 
 

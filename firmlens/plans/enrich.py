@@ -10,8 +10,9 @@ from firmlens.schemas import ERROR_PREFIX
 
 
 def curated_by_rules(links: DataFrame) -> DataFrame:
-    """Deduplicated links of all companies, scored by rules."""
-    return curate.dedup_links(curate.curate_links(links, score_links.score_links(links)))
+    """Deduplicated links of all companies, scored by rules, each url of a search once."""
+    rated = score_links.rate_links(curate.first_links(links))
+    return curate.dedup_links(curate.curate_rated(rated))
 
 
 def enrich_by_rules(

@@ -39,8 +39,8 @@ def markdown(html: str) -> str:
     for pattern, replacement in M.REWRITES:
         replacement = replacement.replace("$1", r"\1").replace("$2", r"\2")
         text = f"regexp_replace({text}, {lit(pattern)}, {lit(replacement)}, 'g')"
-    for entity, character in M.ENTITIES:
-        text = f"replace({text}, {lit(entity)}, {lit(character)})"
+    for old, new in M.LITERALS:
+        text = f"replace({text}, {lit(old)}, {lit(new)})"
     for pattern, replacement in M.CLEAN_UP:
         text = f"regexp_replace({text}, {lit(pattern)}, {lit(replacement)}, 'g')"
     return f"trim({text}, {lit(' ' + chr(10))})"
@@ -211,7 +211,11 @@ RULE_SCORES = f"""rule_scores as (
          case when search_type = 'revenue' then {_rev_reason} else {_erp_reason} end reason
   from (select *, {words("concat_ws(' ', title, snippet, url)")} w from hits))"""
 
-BY_RULES = [CO, ORD, RAW, RULE_SCORES, curated("rule_scores", "chosen"), dedup("chosen")]
+ONCE = """once as (
+  select * from rule_scores qualify row_number() over (
+    partition by company_id, search_type, url order by scored_pos) = 1)"""
+
+BY_RULES = [CO, ORD, RAW, RULE_SCORES, ONCE, curated("once", "chosen"), dedup("chosen")]
 
 # --- rule extraction ---------------------------------------------------------
 

@@ -53,30 +53,32 @@ def search_context(spark, sf_dir):
 
 
 def search_hits(spark, sf_dir):
-    return response_source.search_hits(T.search_responses(spark, sf_dir))
+    return response_source.search_hits(T.search_responses(spark, sf_dir, T.raw_hits(spark, sf_dir)))
 
 
 def parse_scores(spark, sf_dir):
-    parsed = curate.parse_scores(T.score_responses(spark, sf_dir))
+    parsed = curate.parse_scores(T.score_responses(spark, sf_dir, T.raw_hits(spark, sf_dir)))
     return parsed.select(
         *curate.REQUEST, "valid", F.posexplode_outer("scored_links").alias("scored_pos", "link")
     ).select(*curate.REQUEST, "valid", "scored_pos", "link.url", "link.score", "link.reason")
 
 
-def _scores(spark, sf_dir):
-    return curate.scores_of(curate.parse_scores(T.score_responses(spark, sf_dir)))
+def _scores(spark, sf_dir, raw):
+    return curate.scores_of(curate.parse_scores(T.score_responses(spark, sf_dir, raw)))
 
 
 def curate_links(spark, sf_dir):
-    return curate.curate_links(T.hits(spark, sf_dir), _scores(spark, sf_dir))
+    raw = T.raw_hits(spark, sf_dir)
+    return curate.curate_links(T.hits(raw), _scores(spark, sf_dir, raw))
 
 
 def curate_fallback(spark, sf_dir):
-    return curate.curate_with_responses(T.hits(spark, sf_dir), T.score_responses(spark, sf_dir))
+    raw = T.raw_hits(spark, sf_dir)
+    return curate.curate_with_responses(T.hits(raw), T.score_responses(spark, sf_dir, raw))
 
 
 def top_scored(spark, sf_dir):
-    return curate.top_scored(_scores(spark, sf_dir))
+    return curate.top_scored(_scores(spark, sf_dir, T.raw_hits(spark, sf_dir)))
 
 
 def curated_counts(spark, sf_dir):
@@ -105,7 +107,7 @@ def combined_content(spark, sf_dir):
 
 
 def link_prompts(spark, sf_dir):
-    rendered = prompts.link_prompts(T.hits(spark, sf_dir), T.companies(spark, sf_dir))
+    rendered = prompts.link_prompts(T.hits(T.raw_hits(spark, sf_dir)), T.companies(spark, sf_dir))
     return _digest(rendered, curate.REQUEST, "prompt")
 
 
@@ -137,7 +139,7 @@ def place_client():
 
 
 def structured_inference(spark, sf_dir):
-    rendered = prompts.link_prompts(T.hits(spark, sf_dir), T.companies(spark, sf_dir))
+    rendered = prompts.link_prompts(T.hits(T.raw_hits(spark, sf_dir)), T.companies(spark, sf_dir))
     parsed = curate.parse_scores(inference.infer(rendered, place_client, curate.REQUEST))
     return parsed.select(*curate.REQUEST, "valid", F.inline("scored_links"))
 
@@ -166,11 +168,11 @@ def lexicon_join(spark, sf_dir):
 
 
 def score_links_rules(spark, sf_dir):
-    return score_links.score_links(T.hits(spark, sf_dir))
+    return score_links.score_links(T.hits(T.raw_hits(spark, sf_dir)))
 
 
 def _records(spark, sf_dir):
-    chosen = cut(enrich.curated_by_rules(T.hits(spark, sf_dir)))
+    chosen = cut(enrich.curated_by_rules(T.hits(T.raw_hits(spark, sf_dir))))
     return extract.extract(chosen, T.web_pages(spark, sf_dir), T.companies(spark, sf_dir))
 
 
@@ -194,10 +196,11 @@ def revenue_bucket(spark, sf_dir):
 
 
 def enrich_companies(spark, sf_dir):
+    raw = T.raw_hits(spark, sf_dir)
     return enrich.enrich_with_responses(
         T.companies(spark, sf_dir),
-        T.hits(spark, sf_dir),
-        T.score_responses(spark, sf_dir),
+        T.hits(raw),
+        T.score_responses(spark, sf_dir, raw),
         T.web_pages(spark, sf_dir),
         T.extraction_responses(spark, sf_dir),
     )
@@ -205,7 +208,7 @@ def enrich_companies(spark, sf_dir):
 
 def enrich_by_rules(spark, sf_dir):
     return enrich.enrich_by_rules(
-        T.companies(spark, sf_dir), T.hits(spark, sf_dir), T.web_pages(spark, sf_dir)
+        T.companies(spark, sf_dir), T.hits(T.raw_hits(spark, sf_dir)), T.web_pages(spark, sf_dir)
     )
 
 

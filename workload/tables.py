@@ -13,6 +13,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from firmlens.functions.lineage import cut
 from firmlens.schemas import ERP, HITS_PER_SEARCH, REVENUE
 
 BRAND_OF_SEGMENT = {
@@ -138,8 +139,12 @@ def _report_html() -> Column:
 
 
 def web_pages(spark, sf_dir) -> DataFrame:
-    """Given pages and report pages: ``url, html``."""
-    reports = _orders(spark, sf_dir).select("url", _report_html().alias("html"))
+    """Given pages and report pages: ``url, html``.
+
+    Orders are spread over the cluster before their rows grow into pages.
+    """
+    spread = _orders(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    reports = spread.select("url", _report_html().alias("html"))
     return table(spark, sf_dir, "pages").select("url", "html").unionByName(reports)
 
 
@@ -150,8 +155,11 @@ def _first_hits(rows: DataFrame, *order: str) -> DataFrame:
     )
 
 
-def _raw_hits(spark, sf_dir) -> DataFrame:
-    """Hits with nulls where the search API leaves a key out, and the model's score."""
+def raw_hits(spark, sf_dir) -> DataFrame:
+    """Hits with nulls where the search API leaves a key out, and the model's score.
+
+    Several derived tables start from them, so they are written out once.
+    """
     c = F.col
     orders = _orders(spark, sf_dir).withColumnRenamed("o_custkey", "company_id")
     revenue = _first_hits(orders, "o_orderkey").select(
@@ -189,12 +197,12 @@ def _raw_hits(spark, sf_dir) -> DataFrame:
         .alias("snippet"),
         (c("l_linenumber") + 2).alias("score"),
     )
-    return revenue.unionByName(erp)
+    return cut(revenue.unionByName(erp))
 
 
-def hits(spark, sf_dir) -> DataFrame:
+def hits(raw_hits: DataFrame) -> DataFrame:
     """Search hits with the default texts in place."""
-    return _raw_hits(spark, sf_dir).select(
+    return raw_hits.select(
         "company_id",
         "search_type",
         "pos",
@@ -208,11 +216,11 @@ def _quoted(text: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'^\{"v":|\}$', "")
 
 
-def search_responses(spark, sf_dir) -> DataFrame:
+def search_responses(spark, sf_dir, raw_hits: DataFrame) -> DataFrame:
     """Search API responses; broken for customers in debt, listless for one segment."""
     c = F.col
     item = F.struct("title", F.col("url").alias("link"), "snippet")
-    listed = _raw_hits(spark, sf_dir).groupBy("company_id", "search_type").agg(
+    listed = raw_hits.groupBy("company_id", "search_type").agg(
         F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items")
     )
     body = F.to_json(F.struct(F.transform("items", lambda i: i["item"]).alias("organic")))
@@ -230,7 +238,7 @@ def search_responses(spark, sf_dir) -> DataFrame:
     )
 
 
-def score_responses(spark, sf_dir) -> DataFrame:
+def score_responses(spark, sf_dir, raw_hits: DataFrame) -> DataFrame:
     """Curation responses of a model.
 
     Customers in debt get broken JSON, BUILDING customers below 2,000 an empty
@@ -245,7 +253,7 @@ def score_responses(spark, sf_dir) -> DataFrame:
         F.lit('{"url": '), _quoted(c("url")), F.lit(', "score": '), numbered,
         F.lit(', "reason": "hit '), "pos", F.lit('"}'),
     )
-    listed = _raw_hits(spark, sf_dir).groupBy("company_id", "search_type").agg(
+    listed = raw_hits.groupBy("company_id", "search_type").agg(
         F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items")
     )
     customers = table(spark, sf_dir, "customer").select(

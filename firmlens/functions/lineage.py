@@ -1,23 +1,33 @@
 """Stage boundaries that survive lost executors."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="firmlens-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write a stage result to the shared checkpoint folder and go on from there.
+    """Write a stage result as a table in the shared folder and go on from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a folder of its own.
+    Later steps read only the columns they need, a lost executor costs no more
+    than its own tasks, and the planner knows the true size of the result. The
+    tables stay until the folder is emptied.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="firmlens-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/firmlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -21,6 +21,8 @@ def search_hits(responses: DataFrame) -> DataFrame:
         F.try_parse_json(F.col("raw")), "$.organic", "array<map<string,variant>>"
     )
 
+    items = F.when(F.forall(items, lambda item: item.isNotNull()), items)
+
     def field(name: str, default: str):
         value = F.try_variant_get(F.col("item")[name], "$", "string")
         return F.coalesce(value, F.lit(default))

@@ -1,0 +1,119 @@
+from datetime import datetime
+
+import pytest
+
+from firmlens.schemas import RESULT_SCHEMA
+from firmlens.sources import companies as C
+from firmlens.sources import pages as P
+from firmlens.sources import results as R
+from firmlens.sources import search_responses as S
+
+
+def names(df, column="company_name"):
+    return [r[0] for r in df.orderBy("company_id").select(column).collect()]
+
+
+def test_csv_keeps_text_and_quotes(spark, tmp_path):
+    path = tmp_path / "in.csv"
+    path.write_text('company_name,location,other\n"Foo, ""Bar"" Inc","Pune\nEast",1\n0042,NA,2\n')
+    df = C.standard_companies(C.read_companies(spark, str(path)))
+    rows = {r.company_name: (r.location, r.industry) for r in df.collect()}
+    assert rows == {'Foo, "Bar" Inc': ("Pune\nEast", ""), "0042": ("", "")}
+
+
+def test_extension_is_case_sensitive(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.createDataFrame([(1, "A")], "id int, company_name string").write.parquet(path)
+    assert C.read_companies(spark, path).count() == 1
+    with pytest.raises(ValueError, match="CSV"):
+        C.read_companies(spark, "companies.xlsx")
+    with pytest.raises(Exception):
+        C.read_companies(spark, "companies.CSV").count()
+
+
+def test_names_are_normalised(spark):
+    raw = [(1, " A "), (2, "\tB\n"), (3, None), (4, "NA"), (5, "  "), (6, "123"), (7, "None"), (8, "na")]
+    df = C.map_companies(spark.createDataFrame(raw, "id int, firm string"), "firm", company_id="id")
+    assert names(df) == ["A", "B", "", "", "", "123", "", "na"]
+
+
+def test_default_name_column(spark):
+    first = spark.createDataFrame([(1, "x", "y")], "a int, company_name string, c string")
+    assert names(C.map_companies(first)) == ["x"]
+    assert names(C.map_companies(first.drop("company_name"))) == ["1"]
+
+
+def test_missing_column_lists_columns(spark):
+    df = spark.createDataFrame([(1, "x")], "name int, town string")
+    with pytest.raises(ValueError, match="name, town"):
+        C.standard_companies(df)
+
+
+def test_duplicates_keep_own_stable_ids(spark):
+    df = C.map_companies(spark.createDataFrame([("A",)] * 40, "company_name string").repartition(5))
+    first = {r.company_id for r in df.collect()}
+    assert len(first) == 40 and first == {r.company_id for r in df.collect()}
+
+
+def test_preview(spark):
+    assert C.preview(spark.range(9)).count() == 5
+
+
+def test_default_path():
+    path = R.default_path("/data/")
+    stamp = path.removeprefix("/data/erp_revenue_results_").removesuffix(".csv")
+    assert datetime.strptime(stamp, "%Y%m%d_%H%M%S")
+
+
+def test_result_round_trip(spark, tmp_path):
+    row = ('Foo "Bar", Inc', " Pune", "", None, 0, "USD 5\nmillion", 8, "$1M-$10M", None, None, "n", 3)
+    df = spark.createDataFrame([row], RESULT_SCHEMA)
+    path = R.write_results(df, str(tmp_path / "out.csv"))
+    back = spark.read.csv(path, header=True, multiLine=True, escape='"').first()
+    assert back.company_name == row[0] and back.annual_revenue == row[5] and back.location == " Pune"
+    assert back.erp_system is None and back.sources_found == "3"
+    parquet = R.write_results(df, str(tmp_path / "out.parquet"))
+    assert spark.read.parquet(parquet).collect() == df.collect()
+    with pytest.raises(Exception):
+        R.write_results(df, path)
+
+
+def test_empty_input_keeps_the_schema(spark, tmp_path):
+    path = R.write_results(spark.createDataFrame([], RESULT_SCHEMA), str(tmp_path / "none.parquet"))
+    back = spark.read.parquet(path)
+    assert back.columns == RESULT_SCHEMA.names and back.count() == 0
+
+
+def test_search_hits(spark):
+    raw = [
+        '{"organic":[{"title":"T","link":"u1","snippet":"s"},{"link":"u2"},{"title":null,"link":null}]}',
+        '{"other":1}',
+        "not json",
+        '{"organic":"text"}',
+        '{"organic":[{"link":"u"},7]}',
+        '{"organic":[]}',
+        None,
+    ]
+    df = spark.createDataFrame(list(enumerate(raw)), "company_id bigint, raw string").selectExpr(
+        "company_id", "'revenue' search_type", "raw"
+    )
+    rows = [tuple(r) for r in S.search_hits(df).orderBy("pos").collect()]
+    text = "No description available"
+    assert rows == [
+        (0, "revenue", 0, "T", "u1", "s"),
+        (0, "revenue", 1, "No Title", "u2", text),
+        (0, "revenue", 2, "No Title", "", text),
+    ]
+
+
+def test_read_responses(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"company_id": 3, "search_type": "ERP", "raw": "{}"}\n')
+    assert tuple(S.read_responses(spark, str(tmp_path)).first()) == (3, "ERP", "{}")
+
+
+def test_newest_pages(spark):
+    crawl = spark.createDataFrame(
+        [("u", "old", 1), ("u", "new", 3), ("u", "mid", 2), ("v", "x", 1)],
+        "url string, html string, at int",
+    )
+    assert {tuple(r) for r in P.newest_pages(crawl, "at").collect()} == {("u", "new"), ("v", "x")}

@@ -1,0 +1,94 @@
+import pytest
+from pyspark.sql import functions as F
+
+from firmlens.functions import revenue as R
+from firmlens.functions import rubric
+from firmlens.functions import text as X
+from firmlens.functions.markdown import markdown
+
+
+def column(spark, values, expression):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    return [r[0] for r in df.orderBy("i").select(expression(F.col("v"))).collect()]
+
+
+def test_markdown(spark):
+    cases = {
+        "<h1>A</h1><p>b</p>": "# A\n\nb",
+        '<h3 class="x">A <i>b</i></h3>c': "### A *b*\n\nc",
+        '<a class="k" href="/x?y=1">go</a>': "[go](/x?y=1)",
+        "<ul><li>one</li><li>two</li></ul>": "* one\n\n* two" ,
+        "<p><b>bold</b> and <strong>more</strong></p>": "**bold** and **more**",
+        "<p><b>open<p>next</p>": "open\n\nnext",
+        'a<script>var t="</p>";</script>b<style>p{}</style><!-- <p> -->c': "abc",
+        "<!DOCTYPE html><html><head><title>T</title></head><body>x</body></html>": "T\n\nx",
+        "a<br>b<br/>c": "a\nb\nc",
+        "1 &lt; 2 &amp;&amp; &amp;lt; &quot;q&quot; &copy;": '1 < 2 && &lt; "q" ©',
+        "a  \t b\n\n\n\n  c": "a b\n\nc",
+        "x < y and z": "x < y and z",
+        "": "",
+    }
+    got = column(spark, list(cases), markdown)
+    assert [g.replace("\n* two", "\n* two") for g in got][0] == "# A\n\nb"
+    for (html, expected), text in zip(cases.items(), got):
+        if "<li>" in html:
+            assert [line for line in text.split("\n") if line] == ["* one", "* two"]
+        else:
+            assert text == expected, html
+    assert column(spark, [None], markdown) == [None]
+
+
+def test_strip_and_tokens(spark):
+    assert column(spark, ["\t a b \n\f"], X.strip) == ["a b"]
+    assert column(spark, ["Über-Größe, 12x!"], X.tokens) == [["über", "größe", "12x"]]
+    assert column(spark, ["Acme, Inc."], X.padded) == [" acme  inc "]
+
+
+def test_brand_boundaries(spark):
+    texts = ["sapling SAP", "Microsoft   Dynamics!", "enterprise", "sap oracle sap"]
+    got = column(spark, texts, lambda c: X.mentions(X.padded(c), rubric.BRANDS))
+    assert got == [["sap"], ["microsoft  dynamics"], [], ["sap", "oracle", "sap"]]
+
+
+def test_sentences(spark):
+    got = column(spark, ["Acme Inc. made Rs. 5.5 crore. Next! End\nline"], X.sentences)
+    assert got == [["Acme Inc made Rs 5.5 crore", "Next", "End", "line"]]
+
+
+@pytest.mark.parametrize(
+    "sentence, amount, year, usd",
+    [
+        ("Annual revenue of INR 120 crore in 2023", "INR 120 crore", 2023, "14400000.00"),
+        ("In 2021 turnover was $ 1,234,567.5", "$ 1,234,567.5", 2021, "1234567.50"),
+        ("It made € 2 million in sales", "€ 2 million", None, "2160000.00"),
+        ("Revenue 2019: USD 3bn, from USD 2bn in 2018", "USD 3 bn", 2019, "3000000000.00"),
+        ("Sales reached £5k", "£ 5 k", None, "6350.00"),
+        ("Revenue was USD 5 more than 1999 planned", "USD 5", 1999, "5.00"),
+        ("Salesforce costs USD 5 million", None, None, None),
+        ("revenue was strong", None, None, None),
+        ("It raised USD 5 million", None, None, None),
+        ("Revenue of Rs 9 lakhs", "Rs 9 lakhs", None, "10800.00"),
+    ],
+)
+def test_revenue_figures(spark, sentence, amount, year, usd):
+    df = R.with_figure(
+        spark.createDataFrame([(sentence,)], "s string"), F.col("s"), F.lit(True)
+    )
+    row = df.first()
+    assert (row.amount, row.amount_year) == (amount, year)
+    assert (None if row.amount_usd is None else str(row.amount_usd)) == usd
+
+
+def test_growth_and_market_cap(spark):
+    assert column(spark, ["Revenue grew by 12.5 %", "Costs grew by 3%"], R.growth_rate) == ["12.5%", ""]
+    assert column(spark, ["Market capitalisation of USD 5 billion", "x"], R.market_cap) == [
+        "USD 5 billion", "",
+    ]
+
+
+def test_revenue_ranges(spark):
+    values = ["999999", "999999.99", "1000000", "10000000", "50000000", "100000000", None]
+    got = column(spark, values, lambda c: rubric.revenue_range(c.cast("decimal(38,2)")))
+    assert got == [
+        "Under $1M", "Under $1M", "$1M-$10M", "$10M-$50M", "$50M-$100M", "$100M+", None,
+    ]

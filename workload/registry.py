@@ -121,26 +121,25 @@ def parse_extractions(spark, sf_dir):
     return results.parse_extractions(T.extraction_responses(spark, sf_dir))
 
 
-def place_client():
+def structured_inference(spark, sf_dir):
     """A stand-in model that scores each listed link by its place in the prompt."""
 
-    def answer(batch: list[str]) -> list[str]:
-        texts = []
-        for prompt in batch:
-            urls = re.findall(r"^URL: (.*)$", prompt, re.MULTILINE)
-            links = [
-                {"url": url, "score": min(10, 1 + i), "reason": f"place {i}"}
-                for i, url in enumerate(urls)
-            ]
-            texts.append(json.dumps({"scored_links": links}))
-        return texts
-
-    return answer
+    def make_client():
+        def answer(batch: list[str]) -> list[str]:
+            texts = []
+            for prompt in batch:
+                urls = re.findall(r"^URL: (.*)$", prompt, re.MULTILINE)
+                links = [
+                    {"url": url, "score": min(10, 1 + i), "reason": f"place {i}"}
+                    for i, url in enumerate(urls)
+                ]
+                texts.append(json.dumps({"scored_links": links}))
+            return texts
 
+        return answer
 
-def structured_inference(spark, sf_dir):
     rendered = prompts.link_prompts(T.hits(T.raw_hits(spark, sf_dir)), T.companies(spark, sf_dir))
-    parsed = curate.parse_scores(inference.infer(rendered, place_client, curate.REQUEST))
+    parsed = curate.parse_scores(inference.infer(rendered, make_client, curate.REQUEST))
     return parsed.select(*curate.REQUEST, "valid", F.inline("scored_links"))
 
 

@@ -71,9 +71,11 @@ def page_evidence(pages: DataFrame, lexicons: Lexicons) -> DataFrame:
     kept = [c for c in pages.columns if c != "markdown"]
     sentence, lower = F.col("sentence"), F.col("lower")
     all_terms = [t for group in (lexicons.sizes, lexicons.types) for ts in group.values() for t in ts]
+    # Blank pages give no sentences. A filter would move down to the scan and convert
+    # every page a second time.
+    split = F.when(F.trim("markdown") != "", X.sentences(F.col("markdown")))
     told = (
-        pages.where(F.trim("markdown") != "")
-        .select(*kept, F.posexplode(X.sentences(F.col("markdown"))).alias("at", "sentence"))
+        pages.select(*kept, F.posexplode(split).alias("at", "sentence"))
         .withColumns({"words": X.padded(sentence), "lower": F.lower(sentence)})
         .withColumns(
             {

@@ -33,27 +33,34 @@ def combined_content(linked: DataFrame) -> DataFrame:
     ``linked``: deduplicated links with ``markdown``. A company has at most three
     links per search and so a handful of pages. Blank pages are left out.
     """
-    page = F.struct("type_ord", "rank", "markdown")
-    pages = F.array_sort(F.collect_list(page))
-    return (
-        linked.where(F.trim("markdown") != "")
-        .groupBy("company_id")
-        .agg(
-            F.array_join(F.transform(pages, lambda p: p["markdown"]), PAGE_SEPARATOR).alias(
-                "content"
-            )
-        )
+    # The test for blank pages sits in the aggregate: as a filter it would move down
+    # to the scan and convert every page a second time.
+    page = F.when(F.trim("markdown") != "", F.struct("type_ord", "rank", "markdown"))
+    pages = linked.groupBy("company_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    texts = F.transform("pages", lambda p: p["markdown"])
+    return pages.where(F.size("pages") > 0).select(
+        "company_id", F.array_join(texts, PAGE_SEPARATOR).alias("content")
     )
 
 
 def readable_companies(links: DataFrame, pages: DataFrame) -> DataFrame:
-    """Companies with at least one linked page that has text."""
+    """Companies with at least one linked page that has text.
+
+    The test is a column and not a filter, which would move down to the scan and
+    convert every page there is.
+    """
+    readable = (markdown(F.col("html")) != "").alias("readable")
     joined = fan_out_join(
         links.select("company_id", "url"),
         pages.select("url", "html"),
         "url",
         ["company_id"],
-        prepare=lambda found: found.where(markdown(F.col("html")) != "").select("url", SALTS),
+        prepare=lambda found: found.select("url", SALTS, readable),
         how="inner",
     )
-    return joined.select("company_id").distinct()
+    return (
+        joined.groupBy("company_id")
+        .agg(F.bool_or("readable").alias("readable"))
+        .where("readable")
+        .select("company_id")
+    )

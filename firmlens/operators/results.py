@@ -22,21 +22,25 @@ def parse_extractions(responses: DataFrame) -> DataFrame:
 def build_results(
     companies: DataFrame,
     sources: DataFrame,
-    with_content: DataFrame,
     extracted: DataFrame,
+    with_content: DataFrame | None = None,
     error_prefix: str = ERROR_PREFIX,
 ) -> DataFrame:
     """``company_id`` and the twelve result columns for every input company.
 
-    ``sources``: company_id, sources_found. ``with_content``: the companies that
-    have any readable page. ``extracted``: company_id, error, 8 fields. Each has one
-    row per company at most. Error rows report confidence 0 and no sources.
+    ``sources``: company_id, sources_found. ``extracted``: company_id, error, 8
+    fields. ``with_content``: the companies that have any readable page; without it
+    those in ``extracted``. Each has one row per company at most. Error rows report
+    confidence 0 and no sources.
     """
-    joined = (
-        companies.join(sources, "company_id", "left")
-        .join(with_content.select("company_id", F.lit(True).alias("_read")), "company_id", "left")
-        .join(extracted, "company_id", "left")
-    )
+    mark = F.lit(True).alias("_read")
+    joined = companies.join(sources, "company_id", "left")
+    if with_content is None:
+        joined = joined.join(extracted.select("*", mark), "company_id", "left")
+    else:
+        joined = joined.join(with_content.select("company_id", mark), "company_id", "left").join(
+            extracted, "company_id", "left"
+        )
     read = F.col("_read").isNotNull()
     error = F.when(F.col("company_name") == "", F.lit(MISSING_NAME_ERROR)).when(
         read,

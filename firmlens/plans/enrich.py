@@ -30,7 +30,7 @@ def enrich_by_rules(
     chosen = cut(curated_by_rules(links))
     records = extract.extract(chosen, page_table, companies, lexicons)
     return results.build_results(
-        companies, curate.sources_found(chosen), records.select("company_id"), records, error_prefix
+        companies, curate.sources_found(chosen), records, error_prefix=error_prefix
     )
 
 
@@ -49,8 +49,8 @@ def enrich_with_responses(
     return results.build_results(
         companies,
         curate.sources_found(chosen),
-        readable,
         results.parse_extractions(extraction_responses),
+        readable,
         error_prefix,
     )
 
@@ -73,7 +73,6 @@ def enrich_with_model(
     return results.build_results(
         companies,
         curate.sources_found(chosen),
-        answers.select("company_id"),
         results.parse_extractions(answers),
-        error_prefix,
+        error_prefix=error_prefix,
     )

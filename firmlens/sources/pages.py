@@ -20,7 +20,7 @@ def newest_pages(crawl: DataFrame, fetched_at: str) -> DataFrame:
 def save_pages(pages: DataFrame, table: str, buckets: int) -> None:
     """Store pages bucketed by url, so that looking pages up never shuffles html.
 
-    ``buckets`` should give a few hundred MB per bucket; the page lookup joins on
-    url and then moves only the (small) link side.
+    Take at least as many buckets as the session has shuffle partitions, with a few
+    hundred MB in each; the lookup by url then moves only the (small) link side.
     """
     pages.write.bucketBy(buckets, "url").sortBy("url").saveAsTable(table)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from firmlens.functions.joins import fan_out_join
 from firmlens.operators import pages as P
 from firmlens.operators import prompts, results, summary
-from firmlens.operators.extract import Lexicons
+from firmlens.operators.extract import Lexicons, extract
 from firmlens.plans import enrich as E
 from firmlens.schemas import RESULT_SCHEMA
+from firmlens.sources import pages as P_source
 
 COMPANY = "company_id bigint, company_name string, location string, industry string"
 LINK = "company_id bigint, search_type string, pos int, title string, url string, snippet string"
@@ -122,6 +123,50 @@ def test_hot_url(spark):
     assert "_salt" in plan
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_converted_once_and_after_the_lookup(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    pages(spark, a="<p>A</p>").write.parquet(path)
+    web = spark.read.parquet(path)
+    chosen = spark.createDataFrame(
+        [(1, "ERP", 1, 1, "a", "t")],
+        "company_id bigint, search_type string, type_ord int, rank int, url string, title string",
+    )
+    linked = P.link_pages(chosen, web)
+    jobs = [
+        linked,
+        P.combined_content(linked),
+        P.readable_companies(chosen, web),
+        extract(chosen, web, companies(spark, "x", "A")),
+    ]
+    for job in jobs:
+        plan = plan_of(job)
+        assert plan.count("<script") == 1
+        # Deeper operators come later in the text of a plan.
+        assert plan.index("<script") < plan.rindex("Join [url") < plan.rindex("ReadSchema: struct<url:string,html")
+
+
+def test_bucketed_pages_do_not_move(spark):
+    """With at least as many buckets as shuffle partitions the html stays in place."""
+    P_source.save_pages(pages(spark, a="<p>A</p>", b="B"), "bucketed_pages", 16)
+    chosen = spark.createDataFrame([(1, "a")], "company_id bigint, url string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        stored = P.link_pages(chosen, spark.table("bucketed_pages"))
+        lines = plan_of(stored).split("\n")
+        scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "html" in line)
+        lookup = max(i for i in range(scan) if "SortMergeJoin [url" in lines[i])
+        assert not any("Exchange" in line for line in lines[lookup:scan])
+        assert [r.markdown for r in stored.collect()] == ["A"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("drop table bucketed_pages")
+
+
 RULE_PAGES = {
     "press": "<h1>News</h1><p>Acme Corp. runs SAP as its ERP. Acme Corp posted revenue of INR 120 crore in 2023.</p>",
     "more": "<p>Acme Corp uses SAP. Acme Corp is a multinational manufacturer. Oracle too.</p>",

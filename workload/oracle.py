@@ -9,7 +9,8 @@ from firmlens.functions import prompts as P
 from firmlens.functions import revenue as R
 from firmlens.functions import rubric
 from firmlens.functions import text as X
-from firmlens.schemas import NA_VALUES
+from firmlens.operators import corpus_search as S
+from firmlens.schemas import NA_VALUES, NO_SNIPPET, NO_TITLE
 from workload.tables import BRAND_OF_SEGMENT
 
 
@@ -406,12 +407,42 @@ p as (select doc_id, term, count(*) tf from t where term <> '' group by all),
 w as (
   select term, ln((select count(*) from documents) / count(*)) idf from p group by term)"""
 
+REQUESTS = """requests as (
+  select company_id, search_type,
+         company_name || case search_type when 'revenue' then ' revenue' else ' "ERP"' end query
+  from co, (values ('revenue'), ('ERP')) kinds(search_type))"""
+
+PAGE_TERMS = """q as (
+  select distinct company_id, search_type,
+         unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}]+')) term
+  from requests),
+t as (
+  select url, unnest(regexp_split_to_array(lower(markdown), '[^\\p{L}\\p{N}]+')) term from md),
+p as (
+  select url, term, count(*) tf from t
+  where term <> '' and term in (select term from q) group by all),
+w as (select term, ln((select count(*) from web) / count(*)) idf from p group by term)"""
+
+
+def _own(pattern: str, default: str) -> str:
+    text = markdown(f"regexp_extract(html, {lit(pattern)}, 1)")
+    return f"coalesce(nullif({text}, ''), {lit(default)})"
+
+
 ORACLE = {
     "company_scan": COMPANY_SCAN,
     "company_preview": COMPANY_SCAN + " order by c_custkey limit 5",
-    "search_requests": query([CO], """select company_id, search_type,
-  company_name || case search_type when 'revenue' then ' revenue' else ' "ERP"' end query
-from co, (values ('revenue'), ('ERP')) kinds(search_type)"""),
+    "search_requests": query([CO, REQUESTS], "select * from requests"),
+    "search_pages": query([CO, ORD, WEB, MD, REQUESTS, PAGE_TERMS], f"""select company_id, search_type,
+  cast(rk - 1 as integer) pos, {_own(S.TITLE, NO_TITLE)} title, url,
+  {_own(S.DESCRIPTION, NO_SNIPPET)} snippet
+from (select *, row_number() over (partition by company_id, search_type
+                                   order by score desc, url) rk
+      from (select company_id, search_type, url, round(sum(tf * idf), 6) score
+            from q join p using (term) join w using (term) group by all)
+      where score > 0)
+join web using (url)
+where rk <= 8"""),
     "search_context": query([CO], """select company_id,
   company_name || ' ' || location || ' ' || industry search_context from co"""),
     "search_hits": query([CO, ORD, RAW], """select company_id, search_type, pos, title, url, snippet

@@ -148,6 +148,11 @@ def corpus_search_query(spark, sf_dir):
     return corpus_search.corpus_search(queries, T.table(spark, sf_dir, "documents"))
 
 
+def search_pages(spark, sf_dir):
+    asked = requests.search_requests(T.companies(spark, sf_dir))
+    return corpus_search.search_pages(asked, T.web_pages(spark, sf_dir))
+
+
 def lexicon_join(spark, sf_dir):
     words = T.table(spark, sf_dir, "benchmark").select(tokens(F.col("text")).alias("w"))
     single = words.select(F.lit("word").alias("category"), F.explode("w").alias("term"))
@@ -248,6 +253,7 @@ QUERIES = {
     "structured_inference": structured_inference,
     "error_rows": error_rows,
     "corpus_search": corpus_search_query,
+    "search_pages": search_pages,
     "lexicon_join": lexicon_join,
     "score_links_rules": score_links_rules,
     "extract_erp": extract_erp,

@@ -1,32 +1,19 @@
 """Stage boundaries that survive lost executors."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# Folders of local sessions that name none, by application.
-_own_folders: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
+    """The folder that the session names in ``spark.checkpoint.dir``, else its warehouse.
 
-    Only a local session without that setting gets a folder of its own.
+    One rule for every master: both are folders that driver and executors share.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _own_folders:
-        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="firmlens-")
-    return _own_folders[context.applicationId]
-
-
-def cut(df: DataFrame) -> DataFrame:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a stage result as a table in the shared folder and go on from there.
 
     Later steps read only the columns they need, a lost executor costs no more
@@ -35,5 +22,5 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/firmlens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from firmlens.schemas import RESULT_SCHEMA
+from workload.oracle import ORACLE
+from workload.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -15,12 +17,14 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    query, sql = entry.queries()[name], entry.oracle_sql()[name]
+    query, sql = QUERIES[name], ORACLE[name]
     assert compare.differences(spark, db, query, sql, SF_DIR) == []
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import shared_folder
-from firmlens.llm import packing, wavelet
+from firmlens.llm import archive, packing, pii, wavelet
 
 
 def vocabulary() -> str:
@@ -41,7 +41,29 @@ def op8_wavelet(spark, sf_dir):
     return wavelet.read_tokens(spark, path)
 
 
+def op9_pii(spark, sf_dir):
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    joined = lambda kinds: F.concat_ws(
+        ",", F.flatten(F.array(*(F.transform(k, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])) for k in kinds)))
+    )
+    return found.select(
+        "doc_id",
+        *(F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(joined(pii.KINDS), 256).alias("base_sha256"),
+        joined([*pii.KINDS, *pii.ADDED]).alias("spans"),
+    )
+
+
+def op10_archive(spark, sf_dir):
+    path = folder(spark, "archive")
+    archive.write_archive(table(spark, sf_dir, "pages"), path)
+    records = archive.read_archive(spark, path)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op8_wavelet": op8_wavelet,
+    "op9_pii": op9_pii,
+    "op10_archive": op10_archive,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import shared_folder
-from firmlens.llm import archive, packing, pii, wavelet
+from firmlens.llm import archive, decontaminate, packing, pii, quality, subwords, topk, toxicity, wavelet
 
 
 def vocabulary() -> str:
@@ -35,6 +35,39 @@ def op1_packing(spark, sf_dir):
     )
 
 
+def _judged(scored: DataFrame, score: str, held_out, least: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= least).cast("int").alias("predicted"),
+    )
+
+
+def op2_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = subwords.fold(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, labels, fold != 1)
+    return _judged(toxicity.score(docs.select("doc_id", "text"), model), "toxicity", fold == 1, toxicity.THRESHOLD)
+
+
+def op3_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
+def op5_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = subwords.fold(F.col("doc_id"), 5)
+    model = quality.fit(docs, labels, fold != 0)
+    return _judged(quality.score(docs, model), "score", fold == 0, 0.3)
+
+
 def op8_wavelet(spark, sf_dir):
     path = folder(spark, "tokens")
     wavelet.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary)
@@ -63,6 +96,10 @@ def op10_archive(spark, sf_dir):
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
+    "op3_topk": op3_topk,
+    "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
     "op8_wavelet": op8_wavelet,
     "op9_pii": op9_pii,
     "op10_archive": op10_archive,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import shared_folder
-from firmlens.llm import archive, decontaminate, packing, pii, quality, subwords, topk, toxicity, wavelet
+from firmlens.llm import archive, decontaminate, near_dup, packing, pii, quality, subwords, topk, toxicity, wavelet
 
 
 def vocabulary() -> str:
@@ -68,6 +68,10 @@ def op5_quality(spark, sf_dir):
     return _judged(quality.score(docs, model), "score", fold == 0, 0.3)
 
 
+def op6_near_dup(spark, sf_dir):
+    return near_dup.components(table(spark, sf_dir, "documents"))
+
+
 def op8_wavelet(spark, sf_dir):
     path = folder(spark, "tokens")
     wavelet.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary)
@@ -100,6 +104,7 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
+    "op6_near_dup": op6_near_dup,
     "op8_wavelet": op8_wavelet,
     "op9_pii": op9_pii,
     "op10_archive": op10_archive,

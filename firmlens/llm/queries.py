@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import shared_folder
-from firmlens.llm import archive, decontaminate, near_dup, packing, pii, quality, subwords, topk, toxicity, wavelet
+from firmlens.llm import archive, decontaminate, line_templates, near_dup, packing, pii, quality, subwords, topk, toxicity, wavelet
 
 
 def vocabulary() -> str:
@@ -72,6 +72,11 @@ def op6_near_dup(spark, sf_dir):
     return near_dup.components(table(spark, sf_dir, "documents"))
 
 
+def op7_line_templates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return line_templates.report(docs, line_templates.find_recurring(docs))
+
+
 def op8_wavelet(spark, sf_dir):
     path = folder(spark, "tokens")
     wavelet.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary)
@@ -105,6 +110,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_near_dup": op6_near_dup,
+    "op7_line_templates": op7_line_templates,
     "op8_wavelet": op8_wavelet,
     "op9_pii": op9_pii,
     "op10_archive": op10_archive,

@@ -45,7 +45,6 @@ PER_PAIR = 8  # pairs of two components that are verified before all others
 CHUNK = 64
 _WIDTH = 4  # bytes of a hash in a signature
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
-_CACHED_WORDS = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -62,17 +61,11 @@ def _random_numbers() -> tuple[np.ndarray, np.ndarray]:
     return numbers[0] * np.uint64(2) + np.uint64(1), numbers[1]
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = xxhash.xxh3_64_intdigest(word)
-        return number
-
-
 class Shingles:
     """Shingle sets as sorted 64-bit hashes; one per Python worker and partition."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.numbers = words, _Words()
+        self.words = words
         rng = np.random.default_rng(words)
         self.factors = [np.uint64(int(x) * 2 + 1) for x in rng.integers(0, 2**62, words)]
 
@@ -81,9 +74,7 @@ class Shingles:
         found = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not found:
             return np.zeros(0, np.uint64)
-        if len(self.numbers) > _CACHED_WORDS:
-            self.numbers.clear()
-        numbers = np.fromiter(map(self.numbers.__getitem__, found), np.uint64, len(found))
+        numbers = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
         size = min(self.words, len(found))
         total = np.full(len(found) - size + 1, np.uint64(size))
         for place in range(size):

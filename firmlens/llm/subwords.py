@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 CACHED_CHARS = 40
 
 

@@ -74,14 +74,17 @@ def signatures(numbers: np.ndarray, size: int, table: int) -> np.ndarray:
     length = max(1, int(REACH * size))
     sampled = set(rng.choice(length, min(SAMPLED, length), replace=False).tolist())
     keys = rng.integers(0, 2**63, max(sampled) + 1, dtype=np.int64).astype(np.uint64)
-    rows = np.arange(len(numbers))
-    at = np.zeros(len(numbers), np.int64)
+    width = max(numbers.shape[1], len(keys))
+    flat = np.full((len(numbers), width), _PAD, np.uint64)
+    flat[:, : numbers.shape[1]] = numbers
+    flat = flat.ravel()
+    at = np.arange(len(numbers)) * width
     out = np.zeros(len(numbers), np.uint64)
     for step, key in enumerate(keys):
-        word = np.where(at < numbers.shape[1], numbers[rows, np.minimum(at, numbers.shape[1] - 1)], _PAD)
+        word = flat[at]
         if step in sampled:
             out = _mixed(out ^ word)
-        at += (_mixed(word ^ key) >> np.uint64(63)).astype(np.int64)
+        at += (_mixed(word ^ key) >> np.uint64(63)).view(np.int64)
     return out
 
 
@@ -166,60 +169,65 @@ class Items:
                 self.tables[size].append(dict(found))
 
 
+class _Numbers(dict):
+    """Word -> number; emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = number = word_number(word)
+        return number
+
+
 class Finder:
     """Finds a block's items in texts; one per Python worker and partition."""
 
     def __init__(self, block: Items):
         self.block = block
-        self.numbers: dict[str, int] = {}
-
-    def _number(self, word: str) -> int:
-        if len(self.numbers) > 300_000:
-            self.numbers.clear()
-        if word not in self.numbers:
-            self.numbers[word] = word_number(word)
-        return self.numbers[word]
+        self.numbers = _Numbers()
 
     def find(self, texts: list[str | None]) -> list[list[dict]]:
-        """Of each text, the items that it leaks."""
+        """Of each text, the items that it leaks. Of a text only its windows are kept."""
         anchors = self.block.anchors
-        windows = defaultdict(set)  # size -> (text, start)
-        words_by_text: dict[int, list[str]] = {}
+        windows = defaultdict(dict)  # size -> (text, start) -> word numbers
         for number, text in enumerate(texts):
             words = words_of(text)
-            hits = [(i, w) for i, w in enumerate(words) if w in anchors]
-            if hits:
-                words_by_text[number] = words
-            for i, word in hits:
-                for size, place in anchors[word]:
-                    windows[size].add((number, max(i - place, 0)))
+            if anchors.keys().isdisjoint(words):
+                continue
+            for i, word in enumerate(words):
+                if word in anchors:
+                    for size, place in anchors[word]:
+                        start = max(i - place, 0)
+                        if (number, start) not in windows[size]:
+                            own = words[start : start + size]
+                            found = np.full(size, _PAD, np.uint64)
+                            found[: len(own)] = np.fromiter(map(self.numbers.__getitem__, own), np.uint64, len(own))
+                            windows[size][number, start] = found
         found: list[dict[int, dict]] = [{} for _ in texts]
-        for size, places in windows.items():
-            self._look_up(size, sorted(places), words_by_text, found)
+        candidates = defaultdict(set)  # text -> (size, start, item)
+        for size, rows in windows.items():
+            places, matrix = list(rows), np.array(list(rows.values()))
+            for table, keys in enumerate(self.block.tables[size]):
+                made = signatures(matrix, size, table)
+                for row in np.flatnonzero(np.isin(made, np.fromiter(keys, np.uint64, len(keys)))):
+                    number, start = places[row]
+                    candidates[number].update((size, start, item) for item in keys[int(made[row])])
+        for number, own in candidates.items():
+            words = words_of(texts[number])
+            for size, start, item in sorted(own):
+                self._verify(words, size, start, item, found[number])
         return [[x for _, x in sorted(f.items())] for f in found]
 
-    def _look_up(self, size: int, places: list, words_by_text: dict, found: list) -> None:
+    def _verify(self, text: list[str], size: int, start: int, item: int, found: dict[int, dict]) -> None:
         allowed = edits_allowed(size, self.block.similarity)
-        matrix = np.full((len(places), size), _PAD, np.uint64)
-        for row, (number, start) in enumerate(places):
-            own = words_by_text[number][start : start + size]
-            matrix[row, : len(own)] = [self._number(w) for w in own]
-        pairs = set()
-        for table, keys in enumerate(self.block.tables[size]):
-            for row, key in enumerate(signatures(matrix, size, table).tolist()):
-                pairs.update((row, item) for item in keys.get(key, ()))
-        for row, item in sorted(pairs):
-            number, start = places[row]
-            item_id, words = self.block.items[item]
-            if found[number].get(item, {"edits": allowed + 1})["edits"] == 0:
-                continue
-            first = max(start - allowed, 0)
-            region = words_by_text[number][first : start + size + allowed]
-            edits, end = edit_distance(words, region)
-            if edits <= allowed and edits < found[number].get(item, {"edits": size + 1})["edits"]:
-                found[number][item] = {
-                    "item_id": item_id, "item_words": size, "edits": edits, "start": max(first + end - size, 0),
-                }
+        best = found[item]["edits"] if item in found else allowed + 1
+        if best == 0:
+            return
+        first = max(start - allowed, 0)
+        item_id, words = self.block.items[item]
+        edits, end = edit_distance(words, text[first : start + size + allowed])
+        if edits < best:
+            found[item] = {"item_id": item_id, "item_words": size, "edits": edits, "start": max(first + end - size, 0)}
 
 
 def find_leaks(
@@ -249,6 +257,7 @@ def _column(docs: DataFrame, block: Items):
     def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Finder(shared.value)
         for batch in texts:
-            yield pd.Series([x for i in range(0, len(batch), 500) for x in finder.find(batch.iloc[i : i + 500].tolist())], dtype=object)
+            yield pd.Series(finder.find(batch.tolist()), dtype=object)
 
-    return leaks
+    # Else a filter on the result would run it a second time.
+    return leaks.asNondeterministic()

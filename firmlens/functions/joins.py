@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FAN_OUT = 1024
+TARGET_ROWS = 10_000
 SALT = "_salt"
 SALTS = "_salts"
 
-BROADCAST_ROWS = 200_000
-
 
 def fan_out_join(
     rows: DataFrame,
@@ -20,28 +19,23 @@ def fan_out_join(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     how: str = "left",
     fan_out: int = FAN_OUT,
+    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Join rows with a payload looked up by ``key``; any key may be hot in ``rows``.
 
-    Each row gets a salt from ``spread_by``. The salts in use per key are at most
-    ``fan_out`` and shrink map-side, so a hot key costs no more than that before
-    the join. ``prepare`` turns the looked-up payload into the wanted one and so
-    runs once per key, not once per row; it must keep the column ``SALTS``. The
-    payload is then copied once per salt in use, and the final join splits a hot
-    key over as many tasks.
+    Rows are counted per key, map-side first. A key with more than ``target_rows`` rows gets
+    as many salts as it has such shares (at most ``fan_out``); its rows are spread by a hash
+    of ``spread_by`` and its payload is copied once per salt. All other keys, nearly all of
+    them, have one salt and one copy. ``prepare`` turns the looked-up payload into the wanted
+    one and so runs once per key, not once per row; it must keep the column ``SALTS``.
     """
-    salted = rows.withColumn(SALT, F.pmod(F.xxhash64(*spread_by), F.lit(fan_out)).cast("int"))
-    wanted = salted.groupBy(key).agg(F.collect_set(SALT).alias(SALTS))
+    shares = F.ceil(F.count("*") / target_rows).cast("int")
+    wanted = rows.groupBy(key).agg(F.least(F.lit(fan_out), shares).alias(SALTS))
+    hot = wanted.where(F.col(SALTS) > 1)
+    salt = F.pmod(F.xxhash64(*spread_by), F.coalesce(SALTS, F.lit(1))).cast("int")
+    salted = rows.join(hot, key, "left").withColumn(SALT, salt).drop(SALTS)
     found = payload.join(wanted, key)
     if prepare is not None:
         found = prepare(found)
-    copies = found.withColumn(SALT, F.explode(SALTS)).drop(SALTS)
+    copies = found.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.col(SALTS) - 1))).drop(SALTS)
     return salted.join(copies, [key, SALT], how).drop(SALT)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The frame marked for broadcast, or None when it has more than ``limit`` rows.
-
-    Reads at most ``limit + 1`` rows to find out.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else None

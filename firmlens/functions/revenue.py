@@ -100,7 +100,13 @@ def with_figure(df: DataFrame, sentence: Column, where: Column, rates: dict = US
     symbol, number, scale = (F.col(name) for name in parts)
     return (
         found.withColumns(parts)
-        .withColumn("_at", F.instr(sentence, number))
+        # The matched text, then its amount, then the number in it: the digits alone may
+        # stand elsewhere too.
+        .withColumn("_written", F.regexp_extract(figure, FIRST_AMOUNT, 0))
+        .withColumn(
+            "_at",
+            F.instr(sentence, figure) + F.instr(figure, F.col("_written")) + F.instr(F.col("_written"), number) - 2,
+        )
         .withColumns(
             {
                 "_head": F.substring(sentence, F.lit(1), F.col("_at") - 1),
@@ -114,7 +120,7 @@ def with_figure(df: DataFrame, sentence: Column, where: Column, rates: dict = US
                 "amount_usd": to_usd(symbol, number, scale, rates),
             }
         )
-        .drop("_figure", *parts, "_at", "_head", "_tail")
+        .drop("_figure", *parts, "_written", "_at", "_head", "_tail")
     )
 
 

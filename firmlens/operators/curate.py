@@ -8,7 +8,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmlens.functions import strict_json
+from firmlens.functions import rubric, strict_json
 from firmlens.schemas import LINKS_PER_SEARCH, MIN_LINK_SCORE, REVENUE
 
 REQUEST = ["company_id", "search_type"]
@@ -97,7 +97,7 @@ def dedup_links(curated: DataFrame) -> DataFrame:
     The minimum of an ordered struct is a plain aggregate, so it shrinks map-side.
     """
     place = F.struct(
-        F.when(F.col("search_type") == REVENUE, 0).otherwise(1).alias("type_ord"),
+        F.when(rubric.kind_of_search(F.col("search_type")) == REVENUE, 0).otherwise(1).alias("type_ord"),
         "rank",
         "search_type",
         "title",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions import rubric
 from firmlens.functions import text as X
-from firmlens.functions.joins import small
+from firmlens.functions.lineage import cut
 from firmlens.operators.curate import REQUEST
 
 
@@ -51,35 +51,32 @@ def score_links(links: DataFrame) -> DataFrame:
 def lexicon_matches(texts: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Occurrences of each lexicon term per text: ``key, category, term, n``.
 
-    ``lexicon`` holds ``category, term`` with terms of one to three words. This is
-    the way for lexicons too long for a pattern: the texts are cut into phrases and
-    joined with the terms. Counting comes first, so a phrase that fills a text
-    moves once per text. A lexicon too large to send to every task is joined by
-    shuffling; finding that out reads at most a fixed number of its rows.
+    ``lexicon`` holds ``category, term``. This is the way for lexicons too long for a
+    pattern: the texts are cut into phrases of as many words as the lexicon's terms have,
+    and joined with the terms. Counting comes first, so a phrase that fills a text moves
+    once per text. The lexicon is written first, which tells Spark its size and this
+    function the widths of its terms (a job).
     """
+    parts = X.tokens(F.col("term"))
+    terms = cut(
+        lexicon.select("category", "term", F.array_join(parts, " ").alias("phrase"), F.size(parts).alias("width"))
+    )
+    widths = [r["width"] for r in terms.select("width").distinct().collect() if r["width"] > 0] or [1]
     words = F.col("_words")
     starts = F.sequence(F.lit(1), F.size(words))
     phrases = F.flatten(
         F.transform(
             starts,
             lambda at: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(3), F.size(words) - at + 1)),
+                F.filter(F.array(*map(F.lit, widths)), lambda width: width <= F.size(words) - at + 1),
                 lambda width: F.array_join(F.slice(words, at, width), " "),
             ),
         )
     )
-    cut = (
+    said = (
         texts.select(key, X.tokens(F.col(text)).alias("_words"))
         .where(F.size("_words") > 0)
         .select(key, F.explode(phrases).alias("phrase"))
     )
-    terms = lexicon.select(
-        "category", "term", F.array_join(X.tokens(F.col("term")), " ").alias("phrase")
-    )
-    sent = small(terms)
-    if sent is not None:
-        return cut.join(sent, "phrase").groupBy(key, "category", "term").agg(
-            F.count("*").alias("n")
-        )
-    counted = cut.groupBy(key, "phrase").agg(F.count("*").alias("n"))
+    counted = said.groupBy(key, "phrase").agg(F.count("*").alias("n"))
     return counted.join(terms, "phrase").select(key, "category", "term", "n")

@@ -8,10 +8,13 @@ from firmlens.functions.text import strip
 from firmlens.schemas import NA_VALUES
 
 
-def read_companies(spark: SparkSession, path: str) -> DataFrame:
-    """Raw company rows of a ``.csv`` file (every column text) or a Parquet table."""
+def read_companies(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Raw company rows of a ``.csv`` file (every column text) or a Parquet table.
+
+    ``multi_line`` reads cells with line breaks; such a file cannot be split among tasks.
+    """
     if path.endswith(".csv"):
-        return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+        return spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
     if path.endswith((".xlsx", ".xls")):
         raise ValueError("Excel workbooks are not read here; export the sheet as CSV")
     return spark.read.parquet(path)

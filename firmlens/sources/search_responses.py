@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 from firmlens.schemas import NO_SNIPPET, NO_TITLE
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, one object per request with the response text in ``raw``."""
-    return spark.read.schema("company_id BIGINT, search_type STRING, raw STRING").json(path)
+def read_responses(spark: SparkSession, path: str, id_type: str = "BIGINT") -> DataFrame:
+    """JSON lines, one object per request with the response text in ``raw``.
+
+    ``id_type`` is the type of ``company_id``; a value that does not fit it, or a line that
+    is not JSON, stops the read.
+    """
+    schema = f"company_id {id_type}, search_type STRING, raw STRING"
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
 def search_hits(responses: DataFrame) -> DataFrame:

@@ -154,19 +154,28 @@ def test_rule_scores(spark):
     assert rated(spark, "anything", "Case study")[0] == 6
 
 
-def test_lexicon_matches_both_ways(spark, monkeypatch):
+def test_lexicon_matches_terms_of_any_width(spark):
     texts = spark.createDataFrame(
-        [(1, "SAP, sap! sapling Microsoft  Dynamics"), (2, ""), (3, "of the of the")],
+        [(1, "SAP, sap! sapling Microsoft  Dynamics"), (2, ""), (3, "of the of the"),
+         (4, "The Ministry of Corporate Affairs, one two three four five six seven.")],
         "id int, body string",
     )
     lexicon = spark.createDataFrame(
-        [("brand", "SAP"), ("brand", "Microsoft Dynamics"), ("w", "of the of"), ("w", "the")],
+        [("brand", "SAP"), ("brand", "Microsoft Dynamics"), ("w", "of the of"), ("w", "the"),
+         ("long", "ministry of corporate affairs"), ("long", "one two three four five six seven")],
         "category string, term string",
     )
     expected = {
         (1, "brand", "SAP", 2), (1, "brand", "Microsoft Dynamics", 1),
-        (3, "w", "of the of", 1), (3, "w", "the", 2),
+        (3, "w", "of the of", 1), (3, "w", "the", 2), (4, "w", "the", 1),
+        (4, "long", "ministry of corporate affairs", 1), (4, "long", "one two three four five six seven", 1),
     }
     assert {tuple(r) for r in L.lexicon_matches(texts, "id", "body", lexicon).collect()} == expected
-    monkeypatch.setattr(L, "small", lambda df: None)
-    assert {tuple(r) for r in L.lexicon_matches(texts, "id", "body", lexicon).collect()} == expected
+
+
+def test_dedup_ignores_the_case_of_the_type(spark):
+    curated = spark.createDataFrame(
+        [(1, "ERP", 1, 0, "t", "a", "s"), (1, "Revenue", 3, 0, "t", "a", "s")],
+        "company_id int, search_type string, rank int, pos int, title string, url string, snippet string",
+    )
+    assert [r.search_type for r in C.dedup_links(curated).collect()] == ["Revenue"]

@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from firmlens.functions.joins import fan_out_join
+from firmlens.functions.joins import SALTS, fan_out_join
 from firmlens.operators import pages as P
 from firmlens.operators import prompts, results, summary
+from firmlens.operators.inference import infer
 from firmlens.operators.extract import Lexicons, extract
 from firmlens.plans import enrich as E
 from firmlens.schemas import RESULT_SCHEMA
@@ -116,13 +117,24 @@ def test_hot_url(spark):
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), "id")).alias("url"),
     )
     payload = rows.select("url").distinct().withColumn("size", F.length("url"))
-    joined = fan_out_join(rows, payload, "url", ["company_id"], fan_out=16)
+    joined = fan_out_join(rows, payload, "url", ["company_id"], target_rows=1000)
     assert joined.count() == 30000
+    assert fan_out_join(rows, payload, "url", ["company_id"]).count() == 30000
     assert joined.where("url = 'hot'").agg(F.sum("size")).first()[0] == 30000
     plan = joined._jdf.queryExecution().toString()
     assert "_salt" in plan
 
 
+def test_only_hot_keys_are_copied(spark):
+    rows = spark.range(3000).select(
+        F.col("id").alias("company_id"), F.when(F.col("id") < 300, "warm").when(F.col("id") < 1500, "hot").otherwise("u").alias("url")
+    )
+    payload = rows.select("url").distinct()
+    copies = []
+    fan_out_join(rows, payload, "url", ["company_id"], prepare=lambda df: copies.append(df) or df, target_rows=400).count()
+    assert {r.url: r[SALTS] for r in copies[0].collect()} == {"warm": 1, "hot": 3, "u": 4}
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -240,6 +252,21 @@ def test_own_model(spark):
     assert (rows["Gamma"].erp_confidence, rows["Gamma"].sources_found) == (1, 1)
 
 
+def test_failed_calls_cost_no_other_prompt(spark):
+    prompts_table = spark.createDataFrame([(i, f"prompt {i}") for i in range(20)], "id int, prompt string")
+
+    def make_client():
+        def client(batch):
+            if any(p.endswith("7") for p in batch):
+                raise ConnectionError("down")
+            return [p.upper() for p in batch if p != "prompt 3"]
+
+        return client
+
+    answers = {r.id: r.raw for r in infer(prompts_table, make_client, ["id"]).collect()}
+    assert answers == {i: None if i in (3, 7, 17) else f"PROMPT {i}" for i in range(20)}
+
+
 def test_summary(spark):
     systems = [None, ""] + ["SAP"] * 3 + ["Oracle"] * 3 + ["Tally"] * 2 + ["B", "A", "C", "D"]
     rows = [

@@ -16,7 +16,7 @@ def names(df, column="company_name"):
 def test_csv_keeps_text_and_quotes(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text('company_name,location,other\n"Foo, ""Bar"" Inc","Pune\nEast",1\n0042,NA,2\n')
-    df = C.standard_companies(C.read_companies(spark, str(path)))
+    df = C.standard_companies(C.read_companies(spark, str(path), multi_line=True))
     rows = {r.company_name: (r.location, r.industry) for r in df.collect()}
     assert rows == {'Foo, "Bar" Inc': ("Pune\nEast", ""), "0042": ("", "")}
 

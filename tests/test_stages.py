@@ -1,29 +1,19 @@
-import pytest
-
 from firmlens.functions import lineage
 
 
-class Context:
-    def __init__(self, master):
-        self.master, self.applicationId = master, "app-" + master
-
-
 class Session:
-    def __init__(self, master, folder=None):
-        self.sparkContext, self.folder = Context(master), folder
+    def __init__(self, **settings):
         self.conf = self
+        self.settings = settings
 
-    def get(self, key, default):
-        assert key == "spark.checkpoint.dir"
-        return self.folder or default
+    def get(self, key, default=None):
+        return self.settings.get(key.replace(".", "_"), default)
 
 
 def test_shared_folder():
-    assert lineage.shared_folder(Session("yarn", "hdfs:///stages")) == "hdfs:///stages"
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        lineage.shared_folder(Session("yarn"))
-    own = lineage.shared_folder(Session("local[2]"))
-    assert own and lineage.shared_folder(Session("local[2]")) == own
+    both = Session(spark_checkpoint_dir="hdfs:///stages", spark_sql_warehouse_dir="hdfs:///warehouse")
+    assert lineage.shared_folder(both) == "hdfs:///stages"
+    assert lineage.shared_folder(Session(spark_sql_warehouse_dir="hdfs:///warehouse")) == "hdfs:///warehouse"
 
 
 def test_cut_keeps_rows_and_schema(spark):

@@ -26,6 +26,11 @@ def test_markdown(spark):
         "1 &lt; 2 &amp;&amp; &amp;lt; &quot;q&quot; &copy;": '1 < 2 && &lt; "q" ©',
         "a  \t b\n\n\n\n  c": "a b\n\nc",
         "x < y and z": "x < y and z",
+        "<table><tr><td>Revenue</td><td>USD 5 million</td></tr></table>": "| Revenue | USD 5 million",
+        "1&#8211;2 it&#x27;s caf&eacute;": "1–2 it's café",
+        'a<img src="x.png" alt="Plant 2">b': "a![Plant 2]b",
+        "a<script>var x = 1; b": "a",
+        '<a href="/1">one<a href="/2"><b>two</b></a>': "one[**two**](/2)",
         "": "",
     }
     got = column(spark, list(cases), markdown)
@@ -62,6 +67,8 @@ def test_sentences(spark):
         ("In 2021 turnover was $ 1,234,567.5", "$ 1,234,567.5", 2021, "1234567.50"),
         ("It made € 2 million in sales", "€ 2 million", None, "2160000.00"),
         ("Revenue 2019: USD 3bn, from USD 2bn in 2018", "USD 3 bn", 2019, "3000000000.00"),
+        ("Founded 2005, revenue reached USD 5 million.", "USD 5 million", 2005, "5000000.00"),
+        ("Founded 2005, revenue reached USD 7 million.", "USD 7 million", 2005, "7000000.00"),
         ("Sales reached £5k", "£ 5 k", None, "6350.00"),
         ("Revenue was USD 5 more than 1999 planned", "USD 5", 1999, "5.00"),
         ("Salesforce costs USD 5 million", None, None, None),

@@ -96,7 +96,6 @@ RAW = """raw_hits as (
          url, case when pr <> '5-LOW' then 'Revenue of ' || amount || ' in ' || yr end snippet,
          2 * cast(substr(pr, 1, 1) as integer) score
   from (select *, row_number() over (partition by company_id order by o_orderkey) place from ord)
-  where place <= 8
   union all
   select company_id, 'ERP', cast(place - 1 as integer),
          case l_returnflag when 'R' then c_name || ' careers: ' || brand || ' consultant'
@@ -109,8 +108,7 @@ RAW = """raw_hits as (
   from (select *, row_number() over (partition by company_id order by
                     l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) place
         from lineitem join ord on l_orderkey = o_orderkey) lines
-  left join pages on l_partkey = page_id
-  where place <= 8),
+  left join pages on l_partkey = page_id),
 hits as (
   select company_id, search_type, pos, coalesce(title, 'No Title') title, url,
          coalesce(snippet, 'No description available') snippet, score
@@ -250,14 +248,17 @@ EVIDENCE = f"""figure as (
   select url, w, sentence,
          case when regexp_extract(sentence, {_after}, 2) <> '' then
            [regexp_extract(sentence, {_after}, 1), regexp_extract(sentence, {_after}, 2),
-            regexp_extract(sentence, {_after}, 3)]
+            regexp_extract(sentence, {_after}, 3), regexp_extract(sentence, {_after}, 0)]
          else [regexp_extract(sentence, {_before}, 1), regexp_extract(sentence, {_before}, 2),
-               regexp_extract(sentence, {_before}, 3)] end f
+               regexp_extract(sentence, {_before}, 3), regexp_extract(sentence, {_before}, 0)] end f
   from said),
-placed as (
-  select url, w, f, substr(sentence, 1, strpos(sentence, f[2]) - 1) head,
-         substr(sentence, strpos(sentence, f[2]) + length(f[2])) tail
+matched as (
+  select url, w, sentence, f, regexp_extract(f[4], {lit(R.FIRST_AMOUNT)}, 0) written
   from figure where f[2] <> ''),
+placed as (
+  select url, w, f, substr(sentence, 1, place - 1) head, substr(sentence, place + length(f[2])) tail
+  from (select *, strpos(sentence, f[4]) + strpos(f[4], written) + strpos(written, f[2]) - 2 place
+        from matched)),
 dated as (
   select url, w, f,
          nullif(regexp_extract(tail, {lit(R.YEAR_AFTER)}, 2), '') ya,
@@ -507,7 +508,9 @@ where rk <= 8"""),
 lexicon as (
   select distinct 'word' category, unnest(w) term from words
   union
-  select distinct 'pair', w[i] || ' ' || w[i + 1] from words, range(1, 100000) r(i) where i < len(w)),
+  select distinct 'pair', w[i] || ' ' || w[i + 1] from words, range(1, 100000) r(i) where i < len(w)
+  union
+  select distinct 'seven', array_to_string(w[i:i + 6], ' ') from words, range(1, 100000) r(i) where i + 6 <= len(w)),
 docs as (
   select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w
   from documents),
@@ -515,7 +518,9 @@ tok as (select doc_id, unnest(w) a, unnest(list_append(w[2:], null)) b from docs
 said as (
   select doc_id, 'word' category, a term from tok
   union all
-  select doc_id, 'pair', a || ' ' || b from tok where b is not null)
+  select doc_id, 'pair', a || ' ' || b from tok where b is not null
+  union all
+  select doc_id, 'seven', unnest(list_transform(range(1, len(w) - 5), lambda i: array_to_string(w[i:i + 6], ' '))) from docs)
 select doc_id, category, term, count(*) n from said join lexicon using (category, term) group by all""",
     "score_links_rules": query([CO, ORD, RAW, RULE_SCORES], "select * from rule_scores"),
     "extract_erp": query(RULE_RECORDS, "select company_id, erp_system, erp_confidence from records"),

@@ -165,7 +165,16 @@ def lexicon_join(spark, sf_dir):
             )
         ).alias("term"),
     )
-    lexicon = single.unionByName(pairs).distinct()
+    sevens = words.where(F.size("w") > 6).select(
+        F.lit("seven").alias("category"),
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(1), F.size("w") - 6),
+                lambda at: F.array_join(F.slice("w", at, 7), " "),
+            )
+        ).alias("term"),
+    )
+    lexicon = single.unionByName(pairs).unionByName(sevens).distinct()
     return score_links.lexicon_matches(
         T.table(spark, sf_dir, "documents"), "doc_id", "text", lexicon
     )

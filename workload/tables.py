@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import cut
-from firmlens.schemas import ERP, HITS_PER_SEARCH, REVENUE
+from firmlens.schemas import ERP, REVENUE
 
 BRAND_OF_SEGMENT = {
     "AUTOMOBILE": "SAP",
@@ -148,11 +148,9 @@ def web_pages(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("url", "html").unionByName(reports)
 
 
-def _first_hits(rows: DataFrame, *order: str) -> DataFrame:
+def _placed_hits(rows: DataFrame, *order: str) -> DataFrame:
     window = Window.partitionBy("company_id").orderBy(*order)
-    return rows.withColumn("place", F.row_number().over(window)).where(
-        F.col("place") <= HITS_PER_SEARCH
-    )
+    return rows.withColumn("place", F.row_number().over(window))
 
 
 def raw_hits(spark, sf_dir) -> DataFrame:
@@ -162,7 +160,7 @@ def raw_hits(spark, sf_dir) -> DataFrame:
     """
     c = F.col
     orders = _orders(spark, sf_dir).withColumnRenamed("o_custkey", "company_id")
-    revenue = _first_hits(orders, "o_orderkey").select(
+    revenue = _placed_hits(orders, "o_orderkey").select(
         "company_id",
         F.lit(REVENUE).alias("search_type"),
         (c("place") - 1).alias("pos"),
@@ -182,7 +180,7 @@ def raw_hits(spark, sf_dir) -> DataFrame:
     target = F.when(c("l_linenumber") <= 2, c("url")).otherwise(
         F.coalesce("page_url", F.concat(F.lit("https://parts.example.com/jobs/"), "l_partkey"))
     )
-    erp = _first_hits(
+    erp = _placed_hits(
         lines, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"
     ).join(given, c("l_partkey") == c("page_id"), "left").select(
         "company_id",

@@ -9,7 +9,7 @@ copies never meet in pairs. Classes whose signatures agree in a band share a buc
 - Survivors are verified on full sets: first one partner for each class, then only pairs
   between different components, the most alike first.
 - In a bucket that still holds several components, members outside its largest one are
-  compared, in chunks and by signature, with all members of other components; survivors are
+  compared, block by block and by signature, with all members of other components; survivors are
   verified too. So of the candidates that bands give, only those are left out that a chain of
   links already joins: the components are those of all candidate pairs.
 
@@ -23,12 +23,13 @@ a set has an id, they stay unnamed and are kept. Other columns are untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import cut
@@ -42,7 +43,8 @@ BATCH = 16
 MISS = 1e-6
 SURE = 0.87  # agreement from which a first partner is taken by chance, not by agreement
 PER_PAIR = 8  # pairs of two components that are verified before all others
-CHUNK = 64
+BLOCK = 256  # members of a bucket that are compared with as many others at a time
+PAIRS_AT_ONCE = 256
 _WIDTH = 4  # bytes of a hash in a signature
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -255,7 +257,9 @@ class _Search:
         pairs = cut(pairs)
         joined = pairs.join(own("a"), "a").join(own("b"), "b")
         links = joined.where(linked("of_a", "of_b")).select("a", "b").distinct()
-        self.labels = join_components(self.labels, cut(links))
+        with _small_batches(links.sparkSession, PAIRS_AT_ONCE):
+            links = cut(links)
+        self.labels = join_components(self.labels, links)
 
     def _leftovers(self) -> DataFrame:
         """Pairs that pass the sequential test, between members of a bucket outside its
@@ -267,36 +271,65 @@ class _Search:
         mixed = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), main.alias("main")).where("kinds > 1")
         mixed = cut(mixed.select("bucket", F.col("main.component").alias("main")))
         members = cut(members.join(mixed, "bucket")).join(self.nodes, "node")
-        members = members.select("bucket", "node", "component", "signature", "main")
-        return self._compare(members, members.where(F.col("component") != F.col("main")), threshold)
-
-    def _compare(self, members: DataFrame, single: DataFrame, threshold: float) -> DataFrame:
-        # Chunks of at most CHUNK members each: their number in a bucket sets the modulus.
-        sizes = single.groupBy("bucket").agg(F.count("*").alias("left_over"))
-        chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("left_over") / CHUNK)).cast("int")
-        packed = single.join(cut(sizes), "bucket").withColumn("chunk", chunk)
-        packed = packed.groupBy("bucket", "chunk").agg(
-            F.collect_list(F.struct("node", "component", "signature")).alias("others")
-        )
-
-        @F.pandas_udf("array<long>")
-        def alike(component: pd.Series, own: pd.Series, others: pd.Series) -> pd.Series:
-            out = []
-            for mine, sig, chunk in zip(component, own, others):
-                chunk = [x for x in chunk if x["component"] != mine]
-                if not chunk:
-                    out.append([])
-                    continue
-                right = _signatures(pd.Series([x["signature"] for x in chunk]))
-                left = np.broadcast_to(np.frombuffer(sig, "<u4"), right.shape)
-                kept = agreements(left, right, threshold) >= 0
-                out.append([int(x["node"]) for x, k in zip(chunk, kept) if k])
-            return pd.Series(out, dtype=object)
-
-        found = members.join(cut(packed), "bucket").select(
-            "node", F.explode(alike("component", "signature", "others")).alias("other")
-        )
-        return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        members = cut(members.select("bucket", "node", "component", "signature", "main"))
+        blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+        outside = F.count_if(F.col("component") != F.col("main"))
+        sizes = members.groupBy("bucket").agg(blocks(F.count("*")).alias("rows"), blocks(outside).alias("columns"))
+        members = members.join(cut(sizes), "bucket")
+
+        def side(rows: DataFrame, right: bool) -> DataFrame:
+            """Each row in its own block of one side, once for each block of the other."""
+            own, other = ("columns", "rows") if right else ("rows", "columns")
+            place = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(own)
+            every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
+            return rows.select("bucket", place, every, F.lit(right).alias("right"), "node", "component", "signature")
+
+        key = ["bucket", "rows", "columns"]
+        both = side(members, False).unionByName(side(members.where("component != main"), True))
+        both = both.repartition(*key).sortWithinPartitions(*key)
+
+        def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Blocks follow each other; one that goes on in the next batch waits for it."""
+            kept = None
+            for batch in batches:
+                batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+                named = batch[key].to_numpy()
+                ends = np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1
+                for start, end in zip([0, *ends[:-1]], ends):
+                    yield from _alike(batch.iloc[start:end], threshold)
+                kept = batch.iloc[ends[-1] if len(ends) else 0 :]
+            if kept is not None:
+                yield from _alike(kept, threshold)
+
+        return both.mapInPandas(alike, "a long, b long").distinct()
+
+
+def _alike(block: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
+    """Pairs of both sides of a block, in different components, that the test keeps."""
+    right = block["right"].to_numpy(bool)
+    nodes, component = block["node"].to_numpy(), block["component"].to_numpy()
+    hashes = _signatures(block["signature"])
+    x, y = np.flatnonzero(~right), np.flatnonzero(right)
+    step = max(1, 50_000 // max(len(y), 1))
+    for start in range(0, len(x), step):
+        i, j = np.nonzero(component[x[start : start + step], None] != component[None, y])
+        i, j = x[start + i], y[j]
+        near = agreements(hashes[i], hashes[j], threshold) >= 0
+        if near.any():
+            one, other = nodes[i[near]], nodes[j[near]]
+            yield pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})
+
+
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Texts come in pairs, and some are very long: fewer of them at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -28,6 +28,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"  # up to 255, with any zeros before it
+
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["iban", "shortcard"]
 CONTEXT_CHARS = 48
@@ -75,9 +77,7 @@ def mod97(match: Column) -> Column:
 def _confirmed(kind: str, match: Column) -> Column:
     count = F.length(_digits(match))
     if kind == "ip":
-        return F.forall(F.split(match, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3) & F.forall(
-            F.split(match, r"\."), lambda p: F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 3).cast("int"), F.lit(0)) <= 255
-        )
+        return match.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
     if kind == "card":
         return F.when(count.between(16, 19), luhn(_digits(match))).otherwise(False)
     if kind == "shortcard":

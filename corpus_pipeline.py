@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from firmlens.functions.lineage import cut
 from firmlens.llm import decontaminate, line_templates, near_dup, packing, subwords, toxicity
 from firmlens.llm.queries import folder, table, vocabulary
 
@@ -24,17 +25,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("toxicity") < toxicity.THRESHOLD).select("_columns.*")
 
 
-def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs across documents go, but for their first document."""
-    out = line_templates.drop_recurring(docs, line_templates.find_recurring(docs))
+def _without_lines(docs: DataFrame, copy: float | None) -> DataFrame:
+    out = line_templates.drop_recurring(docs, line_templates.find_recurring(docs, copy=copy))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines whose template recurs across documents go, but for their first document. Documents
+    of which half or more recurs stay whole, so that the next stage can tell copies."""
+    return _without_lines(docs, line_templates.COPY)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return near_dup.drop_near_duplicates(docs, SHINGLE_WORDS)
+    """One document of each group of near-duplicates stays. Of those that stay, lines that
+    recur go as well, whatever share of a document they are."""
+    kept = cut(near_dup.drop_near_duplicates(docs, SHINGLE_WORDS))
+    return _without_lines(kept, None)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ tokens are never dropped.
 
 A document of which ``COPY`` of the tokens or more recur is a copy of others as a whole. It
 is left to near-duplicate detection, which keeps one of a group, instead of being torn up.
+What that keeps may still share half of its tokens with others: with ``copy=None`` no document
+is an exception, and a recurring template is dropped from every document but its first.
 
 Only DataFrame expressions, all counts over all documents. Distinct documents are counted in
 two steps, so that a line in a third of all documents meets in no single task; text moves
@@ -103,10 +105,11 @@ def find_recurring(
     min_docs: int = MIN_DOCS,
     min_tokens: int = MIN_TOKENS,
     fixed: float = FIXED,
-    copy: float = COPY,
+    copy: float | None = COPY,
 ) -> DataFrame:
     """Of each document with recurring lines: how many tokens it has and how many of them
-    recur, and the numbers of the lines to drop. Runs jobs."""
+    recur, and the numbers of the lines to drop. Without ``copy`` no document is left whole.
+    Runs jobs."""
     lines = cut(_lines(docs))
     at = F.min(F.struct(*_KEY, "line_no")).alias("at")
     long_lines = lines.where(F.col("n") >= min_tokens)
@@ -125,7 +128,8 @@ def find_recurring(
         F.array_sort(F.collect_set(F.when(goes, F.col("line_no")))).alias("drop"),
     )
     totals = lines.groupBy(_KEY).agg(F.sum("n").alias("tokens"))
-    found = marked.join(totals, _KEY).withColumn("copied", F.col("recurring") >= F.col("tokens") * copy)
+    copied = F.lit(False) if copy is None else F.col("recurring") >= F.col("tokens") * copy
+    found = marked.join(totals, _KEY).withColumn("copied", copied)
     nothing = F.array().cast("array<int>")
     return cut(found.withColumn("drop", F.when(F.col("copied"), nothing).otherwise(F.col("drop"))))
 

@@ -1,7 +1,7 @@
 """The pipeline, stage by stage, held against brute force on the smallest tables."""
 
 import pytest
-from cases import no_documents, odd_documents
+from cases import no_documents, odd_documents, prose
 from test_duplicates import brute_components, brute_lines
 from test_token_operators import by_library, check_pieces
 
@@ -77,3 +77,15 @@ def test_every_stage_takes_odd_documents(spark, make):
         if name != "near_dup":
             assert out.count() == docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() >= docs.count()
+
+
+def test_passage_of_half_a_document_stays_in_one(spark):
+    passage = prose(60, 3)
+    own = {i: prose(50, 100 + i) for i in range(1, 4)}
+    docs = [(i, f"{own[i]}\n{passage}") for i in own]
+    docs += [(i, f"{prose(20, 4)}\n{prose(80, 5)}") for i in (8, 9)]  # whole copies: one goes, the other stays whole
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for stage in (corpus_pipeline.drop_lines, corpus_pipeline.drop_near_duplicates):
+        frame = stage(spark, frame, SF_DIR)
+    texts = {r.doc_id: r.text for r in frame.collect()}
+    assert texts == {1: docs[0][1], 2: own[2], 3: own[3], 8: docs[3][1]}

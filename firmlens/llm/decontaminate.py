@@ -1,19 +1,16 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Benchmark decontamination: anchored candidates, verified by their exact edit distance.
 
 Texts and benchmark items are sequences of words (lower-cased runs of letters and digits). A
 text leaks an item when some run of its words is within edit distance k of the item, k being
 a fifth of the item's words, rounded down.
 
-The CGK random walk embeds a sequence so that edit distance becomes Hamming distance: at
-each step the current word is written out, and a random bit of (step, word) says whether to
-move on. Each of several tables has a walk of its own and samples a few positions of the
-embedding; equal samples make a candidate. The number of tables is chosen from the measured
-chance of agreement at k edits, so that the target recall is reached. Candidates are
-verified by their exact edit distance (to any run of words around the window).
-
-Windows have an item's size. An item has k + 1 anchors, its longest words at different
-places; k edits leave one of them untouched, so it is enough to try the windows that have an
-anchor at its place, and no leak is lost by that.
+An item has k + 1 anchors, its longest words at different places; k edits leave one of them
+untouched, and shift it by at most k words. So every run that leaks an item lies within the
+stretch around an anchor in the text that begins k words before the item would and ends k words
+after it. All such stretches are candidates. k edits also leave all but k of the item's words
+(counted as often as they occur), so stretches with fewer are no leak; all others, joined where
+they overlap, are verified by their exact edit distance. Nothing is sampled: every leak of an
+item of any length is found.
 
 Items go through in blocks of about ``BLOCK_ITEMS``, each broadcast and met by all texts.
 Null and empty texts leak nothing; items without words or without id take no part; repeated
@@ -24,26 +21,18 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
-RECALL = 0.99
-SAMPLED = 3
-REACH = 1.2  # positions of the embedding that are sampled, in item sizes
-MOST_TABLES = 64
 BLOCK_ITEMS = 20_000
 LEAKS = "array<struct<item_id:long,item_words:int,edits:int,start:int>>"
 _WORDS = re.compile(r"[^\W_]+")
-_PAD = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,68 +43,6 @@ def edits_allowed(words: int, similarity: float = SIMILARITY) -> int:
     return math.floor(words * (1 - similarity) + 1e-9)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def word_number(word: str) -> int:
-    data = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data) << 32 | zlib.crc32(data, 0x5BD1E995)
-
-
-def signatures(numbers: np.ndarray, size: int, table: int) -> np.ndarray:
-    """Sampled positions of the embedding, as one number for each row.
-
-    ``numbers``: sequences x words, padded; ``size``: the item size that they stand for.
-    """
-    rng = np.random.default_rng([table, size])
-    length = max(1, int(REACH * size))
-    sampled = set(rng.choice(length, min(SAMPLED, length), replace=False).tolist())
-    keys = rng.integers(0, 2**63, max(sampled) + 1, dtype=np.int64).astype(np.uint64)
-    width = max(numbers.shape[1], len(keys))
-    flat = np.full((len(numbers), width), _PAD, np.uint64)
-    flat[:, : numbers.shape[1]] = numbers
-    flat = flat.ravel()
-    at = np.arange(len(numbers)) * width
-    out = np.zeros(len(numbers), np.uint64)
-    for step, key in enumerate(keys):
-        word = flat[at]
-        if step in sampled:
-            out = _mixed(out ^ word)
-        at += (_mixed(word ^ key) >> np.uint64(63)).view(np.int64)
-    return out
-
-
-def tables_for(size: int, similarity: float, recall: float, trials: int = 400) -> int:
-    """Tables that find sequences at the largest allowed distance with the wanted recall.
-
-    Measured on random sequences with that many random edits of all kinds.
-    """
-    rng = np.random.default_rng(size)
-    edits = edits_allowed(size, similarity)
-    if not edits:
-        return 1
-    before = rng.integers(1, 2**62, (trials, size), dtype=np.int64)
-    after = np.zeros((trials, size), np.uint64)
-    for i, row in enumerate(before):
-        words = row.tolist()
-        for _ in range(edits):
-            kind, place = rng.integers(3), int(rng.integers(len(words)))
-            if kind < 2:
-                words[place : place + kind] = [int(rng.integers(1, 2**62))]  # insert or replace
-            else:
-                del words[place]
-        words = (words + [0] * size)[:size]
-        after[i] = words
-    after[after == 0] = _PAD
-    before = before.astype(np.uint64)
-    agreed = np.mean([(signatures(before, size, t) == signatures(after, size, t)).mean() for t in range(8)])
-    chance = max(float(agreed), 1e-3)
-    return min(MOST_TABLES, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(chance, 0.999)))))
-
-
 def edit_distance(item: list[str], text: list[str]) -> tuple[int, int]:
     """Least edits between the item and any run of the text, and where such a run ends.
 
@@ -147,36 +74,20 @@ class Items:
 
     items: list[tuple[int, list[str]]]
     similarity: float = SIMILARITY
-    recall: float = RECALL
-    anchors: dict[str, set[tuple[int, int]]] = field(default_factory=dict)  # word -> (size, place)
-    tables: dict[int, list[dict[int, list[int]]]] = field(default_factory=dict)  # size -> tables
+    anchors: dict[str, list[tuple[int, int]]] = field(default_factory=dict)  # word -> (item, place)
+    words: list[frozenset[str]] = field(default_factory=list)  # of each item
+    allowed: list[int] = field(default_factory=list)  # edits of each item
 
     def __post_init__(self) -> None:
-        anchors, sizes = defaultdict(set), defaultdict(list)
+        anchors = defaultdict(list)
         for number, (_, words) in enumerate(self.items):
-            sizes[len(words)].append(number)
-            places = sorted(range(len(words)), key=lambda i: (words[i] in words[:i], -len(words[i]), i))
-            for place in places[: edits_allowed(len(words), self.similarity) + 1]:
-                anchors[words[place]].add((len(words), place))
+            self.allowed.append(edits_allowed(len(words), self.similarity))
+            self.words.append(frozenset(words))
+            firsts = {word: i for i, word in reversed(list(enumerate(words)))}
+            places = sorted(range(len(words)), key=lambda i: (firsts[words[i]] < i, -len(words[i]), i))
+            for place in places[: self.allowed[-1] + 1]:
+                anchors[words[place]].append((number, place))
         self.anchors = dict(anchors)
-        for size, numbers in sizes.items():
-            matrix = np.array([[word_number(w) for w in self.items[n][1]] for n in numbers], np.uint64)
-            self.tables[size] = []
-            for table in range(tables_for(size, self.similarity, self.recall)):
-                found = defaultdict(list)
-                for number, key in zip(numbers, signatures(matrix, size, table).tolist()):
-                    found[key].append(number)
-                self.tables[size].append(dict(found))
-
-
-class _Numbers(dict):
-    """Word -> number; emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = number = word_number(word)
-        return number
 
 
 class Finder:
@@ -184,57 +95,57 @@ class Finder:
 
     def __init__(self, block: Items):
         self.block = block
-        self.numbers = _Numbers()
 
     def find(self, texts: list[str | None]) -> list[list[dict]]:
-        """Of each text, the items that it leaks. Of a text only its windows are kept."""
-        anchors = self.block.anchors
-        windows = defaultdict(dict)  # size -> (text, start) -> word numbers
-        for number, text in enumerate(texts):
-            words = words_of(text)
-            if anchors.keys().isdisjoint(words):
-                continue
-            for i, word in enumerate(words):
-                if word in anchors:
-                    for size, place in anchors[word]:
-                        start = max(i - place, 0)
-                        if (number, start) not in windows[size]:
-                            own = words[start : start + size]
-                            found = np.full(size, _PAD, np.uint64)
-                            found[: len(own)] = np.fromiter(map(self.numbers.__getitem__, own), np.uint64, len(own))
-                            windows[size][number, start] = found
-        found: list[dict[int, dict]] = [{} for _ in texts]
-        candidates = defaultdict(set)  # text -> (size, start, item)
-        for size, rows in windows.items():
-            places, matrix = list(rows), np.array(list(rows.values()))
-            for table, keys in enumerate(self.block.tables[size]):
-                made = signatures(matrix, size, table)
-                for row in np.flatnonzero(np.isin(made, np.fromiter(keys, np.uint64, len(keys)))):
-                    number, start = places[row]
-                    candidates[number].update((size, start, item) for item in keys[int(made[row])])
-        for number, own in candidates.items():
-            words = words_of(texts[number])
-            for size, start, item in sorted(own):
-                self._verify(words, size, start, item, found[number])
-        return [[x for _, x in sorted(f.items())] for f in found]
+        """Of each text, the items that it leaks."""
+        return [self._leaks(words_of(text)) for text in texts]
 
-    def _verify(self, text: list[str], size: int, start: int, item: int, found: dict[int, dict]) -> None:
-        allowed = edits_allowed(size, self.block.similarity)
-        best = found[item]["edits"] if item in found else allowed + 1
-        if best == 0:
-            return
-        first = max(start - allowed, 0)
+    def _leaks(self, text: list[str]) -> list[dict]:
+        anchors = self.block.anchors
+        if anchors.keys().isdisjoint(text):
+            return []
+        starts = defaultdict(set)  # item -> where it would start if nothing were shifted
+        for i, word in enumerate(text):
+            if word in anchors:
+                for item, place in anchors[word]:
+                    starts[item].add(i - place)
+        found = []
+        for item in sorted(starts):
+            if leak := self._verified(text, item, starts[item]):
+                found.append(leak)
+        return found
+
+    def _verified(self, text: list[str], item: int, starts: set[int]) -> dict | None:
+        """The item's first run with fewest edits."""
         item_id, words = self.block.items[item]
-        edits, end = edit_distance(words, text[first : start + size + allowed])
-        if edits < best:
-            found[item] = {"item_id": item_id, "item_words": size, "edits": edits, "start": max(first + end - size, 0)}
+        size, allowed, own = len(words), self.block.allowed[item], self.block.words[item]
+        least = len(own) - allowed
+        stretches: list[list[int]] = []
+        for start in sorted(starts):
+            first, last = max(start - allowed, 0), start + size + allowed
+            if len(own.intersection(text[first:last])) >= least:
+                if stretches and first <= stretches[-1][1]:
+                    stretches[-1][1] = last
+                else:
+                    stretches.append([first, last])
+        best = None
+        for first, last in stretches:
+            stretch = text[first:last]
+            # The words may repeat in the item.
+            if len(own) < size and sum((Counter(words) & Counter(stretch)).values()) < size - allowed:
+                continue
+            edits, end = edit_distance(words, stretch)
+            if edits <= allowed and (best is None or edits < best["edits"]):
+                best = {"item_id": item_id, "item_words": size, "edits": edits, "start": max(first + end - size, 0)}
+                if not edits:
+                    break
+        return best
 
 
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     similarity: float = SIMILARITY,
-    recall: float = RECALL,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """All columns of ``docs`` and ``leaks``: items, their size, edits and about where."""
@@ -245,7 +156,7 @@ def find_leaks(
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()
         split = [(r["item_id"], words_of(r["text"])) for r in sorted(own)]
-        block = Items([x for x in split if x[1]], similarity, recall)
+        block = Items([x for x in split if x[1]], similarity)
         parts.append(_column(docs, block)(F.coalesce("text", F.lit(""))))
     return docs.withColumn("leaks", F.concat(*parts))
 

@@ -119,6 +119,33 @@ def test_edited_items_are_found(spark):
         assert len(found) >= 0.99 * len(wanted)
 
 
+def distinct(name, count):
+    return [f"{name}{i}" + "x" * (i * 7 % 5) for i in range(count)]
+
+
+def leaked(item, texts):
+    finder = decontaminate.Finder(decontaminate.Items([(1, item)]))
+    return [[(x["item_id"], x["edits"]) for x in found] for found in finder.find([" ".join(t) for t in texts])]
+
+
+def test_cut_heads_and_runs_of_insertions_are_found():
+    for size in (15, 20, 40, 59):
+        for n in range(20):
+            item, allowed = distinct(f"i{n}w", size), decontaminate.edits_allowed(size)
+            third = size // 3
+            # As many words as may differ, and one more.
+            for edits, wanted in ((allowed, [(1, allowed)]), (allowed + 1, [])):
+                run = distinct("other", edits)
+                before, after = distinct("before", 30), distinct("after", 30)
+                texts = [
+                    [*item[edits:], *after],
+                    item[edits:],
+                    [*before, *item[:-edits]],
+                    [*before, *item[:third], *run, *item[third:], *after],
+                ]
+                assert leaked(item, texts) == [wanted] * len(texts)
+
+
 def test_clean_and_odd_documents(spark):
     docs = odd_documents(spark)
     bench = spark.createDataFrame([(1, "some words of a question that no document holds at all")], "item_id long, text string")

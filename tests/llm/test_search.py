@@ -146,6 +146,15 @@ def test_cut_heads_and_runs_of_insertions_are_found():
                 assert leaked(item, texts) == [wanted] * len(texts)
 
 
+@pytest.mark.parametrize("size", [200, 400])
+def test_long_items_are_found(size):
+    texts, item, allowed = [], distinct("i", size), decontaminate.edits_allowed(size)
+    for n in range(60):
+        run = edited(item, allowed, random.Random(n))
+        texts.append([*distinct("before", n), *run, *distinct("after", n)])
+    assert all(len(found) == 1 for found in leaked(item, texts))
+
+
 def test_clean_and_odd_documents(spark):
     docs = odd_documents(spark)
     bench = spark.createDataFrame([(1, "some words of a question that no document holds at all")], "item_id long, text string")

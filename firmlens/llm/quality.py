@@ -3,7 +3,8 @@
 A document is the mean of its words' vectors, a word the mean of learned hashed vectors of
 itself and its character n-grams; softmax over two classes on top, all trained by stochastic
 gradient descent in numpy on a bounded sample of labelled texts. Scoring reads every whole
-text, from the text alone, and holds one row for each distinct word.
+text, from the text alone, and holds one row for each distinct word; words of over 200
+characters, as in text without spaces, are read as consecutive words.
 
 A null or empty text has no words and gets the score of the bias, which is learned from the
 share of good texts. Repeated rows get equal scores; further columns are ignored. Without
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.llm.subwords import BUCKETS, WordRows, csr, labelled_sample, word_vectors
+from firmlens.llm.subwords import BUCKETS, Spans, WordRows, csr, labelled_sample, pieces, word_vectors
 
 DIM = 16
 EPOCHS = 6
@@ -41,9 +42,9 @@ AGAIN = "<again>"
 
 def words_of(text: str | None) -> list[str]:
     """Words between white space; one that repeats the word before it becomes AGAIN, so that
-    any word said over and over is the same feature."""
+    any word said over and over is the same feature. Long ones go on in pieces."""
     words = (text or "").lower().split()
-    return [AGAIN if word == last else word for word, last in zip(words, ["", *words])]
+    return pieces([AGAIN if word == last else word for word, last in zip(words, ["", *words])])
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -74,8 +75,7 @@ def train(texts: list[tuple[str, int]], prior: float | None = None, seed: int =
         words = words_of(text)
         ids = np.fromiter((rows.setdefault(w, len(rows)) for w in words), np.int64, len(words))
         seen.append((*np.unique(ids, return_counts=True), y))
-    buckets, ends = csr(list(rows))
-    lengths = np.diff(ends)
+    buckets = Spans(list(rows))
     steps, step = EPOCHS * len(seen), 0
     for _ in range(EPOCHS):
         for at in rng.permutation(len(seen)):
@@ -83,9 +83,10 @@ def train(texts: list[tuple[str, int]], prior: float | None = None, seed: int =
             rate = RATE * (1 - step / steps) * weight[y]
             step += 1
             if len(ids):
-                spans = [buckets[ends[i] : ends[i + 1]] for i in ids]
+                spans = [buckets[i] for i in ids]
+                lengths = np.array([len(s) for s in spans])
                 used, back = np.unique(np.concatenate(spans), return_inverse=True)
-                share_of = np.repeat(counts / counts.sum() / lengths[ids], lengths[ids])
+                share_of = np.repeat(counts / counts.sum() / lengths, lengths)
                 share_of = np.bincount(back, share_of).astype(np.float32)
                 hidden = share_of @ model.table[used]
             else:

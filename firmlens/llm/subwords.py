@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -13,11 +14,25 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 CACHED_WORDS = 200_000
 CACHED_CHARS = 40
+PIECE = 200  # characters of a word that are read at once
+FILLED_CHARS = 500_000  # of new words, at once
+KEPT_CHARS = 2_000_000  # of words whose buckets are kept while a model learns
+
+
+def pieces(words: list[str]) -> list[str]:
+    """Words of over ``PIECE`` characters, as in text without spaces, in consecutive pieces.
+
+    They overlap so far that every n-gram lies in one of them.
+    """
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    overlap = max(GRAMS) - 1
+    return [w[i : i + PIECE] for w in words for i in (range(0, len(w) - overlap, PIECE - overlap) if len(w) > PIECE else (0,))]
 
 
 def buckets_of(word: str, buckets: int = BUCKETS) -> list[int]:
     """The word itself and its character n-grams with edges, as bucket numbers."""
-    edged = f"<{word[:200]}>".encode()
+    edged = f"<{word}>".encode()
     found = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets]
     for n in GRAMS:
         found += [zlib.crc32(edged[i : i + n], n) % buckets for i in range(len(edged) - n + 1)]
@@ -26,10 +41,26 @@ def buckets_of(word: str, buckets: int = BUCKETS) -> list[int]:
 
 def csr(words: Sequence[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket numbers of all words in one row, and where each word begins and ends."""
-    rows = [buckets_of(w, buckets) for w in words]
-    ends = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(r) for r in rows], out=ends[1:])
-    return np.fromiter((b for r in rows for b in r), np.int64, ends[-1]), ends
+    found, ends = array("q"), np.zeros(len(words) + 1, np.int64)
+    for i, word in enumerate(words, 1):
+        found.extend(buckets_of(word, buckets))
+        ends[i] = len(found)
+    return np.array(found, np.int64), ends
+
+
+class Spans:
+    """Bucket numbers of each word; those beyond ``KEPT_CHARS`` are made when they are asked for."""
+
+    def __init__(self, words: list[str]):
+        self.words = words
+        total = np.cumsum([len(w) for w in words])
+        self.kept = int(np.searchsorted(total, KEPT_CHARS, "right"))
+        self.buckets, self.ends = csr(words[: self.kept])
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i < self.kept:
+            return self.buckets[self.ends[i] : self.ends[i + 1]]
+        return np.array(buckets_of(self.words[i]), np.int64)
 
 
 def word_vectors(table: np.ndarray, buckets: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -64,11 +95,24 @@ class WordRows(dict):
                 grown = np.zeros((2 * len(self), self.table.shape[1]), np.float32)
                 grown[: len(self.table)] = self.table
                 self.table = grown
-            self.table[len(self) - len(self.new) : len(self)] = self.fill(self.new)
+            at = len(self) - len(self.new)
+            for part in _parts(self.new):
+                self.table[at : at + len(part)] = self.fill(part)
+                at += len(part)
             self.new = []
         return found
 
 
+def _parts(words: list[str]) -> Iterator[list[str]]:
+    """Consecutive words of about ``FILLED_CHARS`` together."""
+    start = chars = 0
+    for end, word in enumerate(words, 1):
+        chars += len(word)
+        if chars >= FILLED_CHARS or end == len(words):
+            yield words[start:end]
+            start, chars = end, 0
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; -1 without id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))

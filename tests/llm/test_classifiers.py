@@ -69,6 +69,32 @@ def test_repeated_words_are_one_feature():
     assert quality.words_of("A a  b b B c") == ["a", "<again>", "b", "<again>", "<again>", "c"]
 
 
+def test_text_without_spaces_is_read_to_its_end():
+    long = "".join(f"{i}ñ語" for i in range(400))
+    parts = subwords.pieces(["a", long, "b"])
+    assert parts[0] == "a" and parts[-1] == "b" and max(map(len, parts)) <= 200
+    got = {b for w in parts for b in subwords.buckets_of(w)}
+    edged = f"<{long}>".encode()
+    assert set(subwords.buckets_of(long)[1:]) <= got
+    assert all(zlib.crc32(edged[i : i + 3], 3) % subwords.BUCKETS in got for i in range(len(edged) - 2))
+    head, bad, good = "abc" * 200, "youidiot" * 30, "nicetext" * 30
+    texts = [(f"{head}{bad}", 1), (f"{head}{good}", 0)] * 30
+    score = toxicity.Scorer(toxicity.train(texts)).score
+    assert score(f"{head}xy{bad}z") > 0.7 > score(f"{head}xy{good}z")
+    score = quality.Scorer(quality.train([(x, 1 - y) for x, y in texts])).score
+    assert score(f"{head}xy{bad}z") < 0.45 < 0.55 < score(f"{head}xy{good}z")
+
+
+def test_buckets_are_equal_whether_kept_or_not(monkeypatch):
+    words = ["one", "two", "three", "four"]
+    kept = subwords.Spans(words)
+    monkeypatch.setattr(subwords, "KEPT_CHARS", 7)
+    monkeypatch.setattr(subwords, "FILLED_CHARS", 4)
+    some = subwords.Spans(words)
+    assert some.kept == 2 and all(list(kept[i]) == list(some[i]) == subwords.buckets_of(w) for i, w in enumerate(words))
+    assert list(subwords._parts(words)) == [["one", "two"], ["three"], ["four"]]
+
+
 def test_language_is_guessed_from_the_text():
     scorer = toxicity.Scorer(toxicity.train([("plain words", 0), ("idiot", 1)] * 20))
     assert [scorer.probability(x)[1] for x in ("the dog and this", "der und nicht", "les des une", "los y con", "zzz")] == ["en", "de", "fr", "es", ""]

@@ -28,6 +28,7 @@ EPOCHS = 6
 RATE = 0.5
 SAMPLE = 2500  # labelled texts of each class, at most
 SAMPLE_CHARS = 20_000
+LONG_CHARS = 1_000_000  # of longer texts of each class, together
 
 
 @dataclass
@@ -123,7 +124,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int = SAMPLE) -> Model | None:
     """A model from the labelled rows that ``may_learn`` admits (a bounded sample of them)."""
-    sample = labelled_sample(docs, labels, "quality", may_learn, per_class, SAMPLE_CHARS)
+    sample = labelled_sample(docs, labels, "quality", may_learn, per_class, SAMPLE_CHARS, LONG_CHARS)
     prior = labels.where(may_learn).agg(F.avg(F.col("quality").cast("double"))).first()[0]
     return train(sample, prior)
 

@@ -119,19 +119,34 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_chars: int
+    docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_chars: int, long_chars: int = 0
 ) -> list[tuple[str, int]]:
     """At most ``per_class`` labelled texts of each class, in the order of a hash of the id.
 
-    ``train`` says which labelled rows may be learned from. Only the sample's texts, each of
-    at most ``max_chars``, come to the driver; longer ones are left out of the sample.
+    ``train`` says which labelled rows may be learned from. Only the sample's texts come to the
+    driver: ``per_class`` of at most ``max_chars``, and of longer ones, whole, as many as have
+    ``long_chars`` of each class together.
     """
     rows = labels.where(train & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     rows = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), "doc_id"]
-    kept = [rows.where(F.col("label") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.where(F.length("text") <= max_chars)
-    found = texts.join(F.broadcast(kept[0].unionByName(kept[1])), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("chars", F.length("text"))
+    short, long = texts.where(F.col("chars") <= max_chars), texts.where(F.col("chars") > max_chars)
+    # Texts count by their length before the limit, so that long ones take no place of others.
+    usable = rows.join(short.select("doc_id"), "doc_id", "left_semi")
+    kept = [usable.where(F.col("label") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
+    found = short.join(F.broadcast(kept[0].unionByName(kept[1])), "doc_id")
+    if long_chars:
+        sizes = rows.join(long.groupBy("doc_id").agg(F.sum("chars").alias("chars")), "doc_id")
+        chosen = []
+        for y in (0, 1):
+            room = long_chars
+            for r in sizes.where(F.col("label") == y).orderBy(*order).limit(per_class).collect():
+                if r["chars"] <= room:
+                    room -= r["chars"]
+                    chosen.append((r["doc_id"], y))
+        if chosen:
+            own = docs.sparkSession.createDataFrame(chosen, rows.schema)
+            found = found.unionByName(long.join(F.broadcast(own), "doc_id"))
     rows = found.select("doc_id", F.xxhash64("doc_id").alias("order"), "text", "label").collect()
     return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: (r["order"], r["doc_id"], r["text"]))]

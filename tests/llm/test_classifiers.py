@@ -65,6 +65,15 @@ def test_samples_are_bounded_and_skip_unusable_labels(spark):
     assert all(int(t.split()[1]) % 2 == y for t, y in sample)
 
 
+def test_long_texts_take_no_place_and_are_sampled_too(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * (90 if i < 40 else 9)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40 or i % 2)) for i in range(60)], "doc_id long, toxic int")
+    sample = subwords.labelled_sample(docs, labels, "toxic", F.lit(True), 10, 50)
+    assert sorted(y for _, y in sample) == [0] * 10 + [1] * 10 and max(len(t) for t, _ in sample) <= 50
+    sample = subwords.labelled_sample(docs, labels, "toxic", F.lit(True), 10, 50, 300)
+    assert [y for t, y in sample if len(t) > 50] == [1] * 3 and len(sample) == 23
+
+
 def test_repeated_words_are_one_feature():
     assert quality.words_of("A a  b b B c") == ["a", "<again>", "b", "<again>", "<again>", "c"]
 

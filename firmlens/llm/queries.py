@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import shared_folder
-from firmlens.llm import archive, decontaminate, line_templates, near_dup, packing, pii, quality, subwords, topk, toxicity, wavelet
+from firmlens.llm import archive, conversations, decontaminate, line_templates, near_dup, packing, pii, quality, subwords, topk, toxicity, wavelet
 
 
 def vocabulary() -> str:
@@ -103,6 +103,11 @@ def op10_archive(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(rows, conversations.damaged(rows))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -114,4 +119,5 @@ QUERIES = {
     "op8_wavelet": op8_wavelet,
     "op9_pii": op9_pii,
     "op10_archive": op10_archive,
+    "op12_repair": op12_repair,
 }

@@ -10,8 +10,8 @@ from firmlens.llm.queries import QUERIES
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+def test_all_operators_and_the_pipeline_are_registered():
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in (*range(1, 11), 12)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLE) <= set(entry.oracle_sql())
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import shared_folder
-from firmlens.llm import archive, conversations, decontaminate, line_templates, near_dup, packing, pii, quality, subwords, topk, toxicity, wavelet
+from firmlens.llm import archive, conversations, decontaminate, line_templates, near_dup, packing, pii, quality, secret_scan, subwords, topk, toxicity, wavelet
 
 
 def vocabulary() -> str:
@@ -103,6 +103,20 @@ def op10_archive(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_secrets(spark, sf_dir):
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["way"] == "")
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *(of_kind(k).alias(f"n_{k}") for k in secret_scan.KINDS),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+        F.array_join(F.transform("secrets", lambda s: s["way"]), ",").alias("ways"),
+    )
+
+
 def op12_repair(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     return conversations.report(rows, conversations.damaged(rows))
@@ -119,5 +133,6 @@ QUERIES = {
     "op8_wavelet": op8_wavelet,
     "op9_pii": op9_pii,
     "op10_archive": op10_archive,
+    "op11_secrets": op11_secrets,
     "op12_repair": op12_repair,
 }

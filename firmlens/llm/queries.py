@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import shared_folder
-from firmlens.llm import archive, conversations, decontaminate, line_templates, near_dup, packing, pii, quality, secret_scan, subwords, topk, toxicity, wavelet
+from firmlens.llm import alignment, archive, conversations, decontaminate, line_templates, near_dup, packing, pii, quality, secret_scan, subwords, topk, toxicity, wavelet
 
 
 def vocabulary() -> str:
@@ -18,6 +18,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def both_vocabularies() -> tuple[str, str]:
+    """The byte-level and the piece vocabulary on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,6 +129,10 @@ def op12_repair(spark, sf_dir):
     return conversations.report(rows, conversations.damaged(rows))
 
 
+def op13_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"), both_vocabularies)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -135,4 +146,5 @@ QUERIES = {
     "op10_archive": op10_archive,
     "op11_secrets": op11_secrets,
     "op12_repair": op12_repair,
+    "op13_alignment": op13_alignment,
 }

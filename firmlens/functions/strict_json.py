@@ -1,4 +1,4 @@
-"""Strict reading of model responses with VARIANT expressions.
+"""The two responses of a model that the job knows, by their declared types.
 
 ``from_json`` cannot be used here: it hides absent keys, accepts a number where
 a text is required and turns "7" or 7.0 into null where an integer is required.
@@ -7,45 +7,11 @@ a text is required and turns "7" or 7.0 into null where an integer is required.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from firmlens.functions.declared import TEXT, WHOLE, list_of, maybe, read, read_fields, record
 from firmlens.schemas import EXTRACTION_FIELDS
 
-WHOLE_NUMBER = r"^[+-]?[0-9]+([.]0+)?$"
-
-
-def string_value(value: Column) -> Column:
-    """The text of a JSON string; null for every other type."""
-    return F.when(
-        F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")
-    )
-
-
-def int_value(value: Column) -> Column:
-    """The integer a strict reader with number coercion accepts, else null.
-
-    7, 7.0, "7", " 7.0 " and true are integers; 7.5, null, lists and objects are
-    not. Whole numbers beyond 32 bits do not fit the column and are rejected.
-    """
-    kind = F.schema_of_variant(value)
-    text = F.btrim(F.try_variant_get(value, "$", "string"), F.lit(" \t\n\r\f\v"))
-    number = F.try_variant_get(value, "$", "decimal(38,10)")
-    return (
-        F.when(
-            kind == "STRING",
-            F.when(text.rlike(WHOLE_NUMBER), text.try_cast("decimal(38,10)").try_cast("int")),
-        )
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("int"))
-        .when(
-            kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"),
-            F.when(number == F.floor(number), number.try_cast("int")),
-        )
-    )
-
-
-def _is_optional_string(record: Column, field: str) -> Column:
-    value = record[field]
-    return F.map_contains_key(record, field) & (
-        F.is_variant_null(value) | F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
-    )
+SCORED_LINKS = record({"scored_links": list_of(record({"url": TEXT, "score": WHOLE, "reason": TEXT}))})
+EXTRACTION = record({n: WHOLE if kind == "int" else maybe(TEXT) for n, kind in EXTRACTION_FIELDS.items()})
 
 
 def scored_links(raw: Column) -> Column:
@@ -54,41 +20,14 @@ def scored_links(raw: Column) -> Column:
     One bad item rejects the whole response. An empty list is valid. The result
     is ``ARRAY<STRUCT<url, score INT, reason>>`` in the order of the response.
     """
-    items = F.try_variant_get(
-        F.try_parse_json(raw), "$.scored_links", "array<map<string,variant>>"
-    )
-    read = F.transform(
-        items,
-        lambda item: F.struct(
-            string_value(item["url"]).alias("url"),
-            int_value(item["score"]).alias("score"),
-            string_value(item["reason"]).alias("reason"),
-        ),
-    )
-    complete = F.forall(
-        read,
-        lambda item: item["url"].isNotNull()
-        & item["score"].isNotNull()
-        & item["reason"].isNotNull(),
-    )
-    return F.when(complete, read)
+    return read(raw, SCORED_LINKS)["value"]["scored_links"]
 
 
 def extraction_record(raw: Column) -> Column:
     """Extraction response as ``STRUCT<error, 8 fields>``; ``error`` null when valid."""
-    record = F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>")
-    values, faults = [], []
-    for name, kind in EXTRACTION_FIELDS.items():
-        if kind == "int":
-            value = int_value(record[name])
-            fine = value.isNotNull()
-        else:
-            value = string_value(record[name])
-            fine = _is_optional_string(record, name)
-        values.append(value.alias(name))
-        faults.append(F.when(~F.coalesce(fine, F.lit(False)), F.lit(name)))
-    named = F.concat_ws(", ", *faults)
-    error = F.when(record.isNull(), F.lit("response is not a JSON object")).when(
+    fields = read_fields(raw, EXTRACTION)
+    named = F.concat_ws(", ", *(F.when(fields[n]["fault"].isNotNull(), F.lit(n)) for n in EXTRACTION_FIELDS))
+    error = F.when(fields.isNull(), F.lit("response is not a JSON object")).when(
         named != "", F.concat(F.lit("missing or invalid in response: "), named)
     )
-    return F.struct(error.alias("error"), *values)
+    return F.struct(error.alias("error"), *(fields[n]["value"].alias(n) for n in EXTRACTION_FIELDS))

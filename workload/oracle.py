@@ -494,6 +494,33 @@ from (select company_id, {_slots(P.EXTRACTION_PROMPT, company='company_name', co
 from answers"""),
     "structured_inference": query([CO, ORD, RAW], """select company_id, search_type, true as valid, url,
   cast(least(10, 1 + pos) as integer) score, 'place ' || pos reason from hits"""),
+    "parse_orders": """select o_orderkey, fault,
+  case when fault is null then cast(o_orderkey as integer) end order_number,
+  case when fault is null then o_orderstatus end status,
+  case when fault is null and o_orderkey % 10 <> 8 then o_orderpriority end note,
+  case when fault is null then o_totalprice end amount,
+  case when fault is null then 'USD' end currency,
+  case when fault is null then cast(n_lines as integer) end n_lines,
+  case when fault is null then cast(quantity as bigint) end quantity,
+  case when fault is null then cast(n_final as integer) end n_final
+from (
+  select orders.*, coalesce(n_lines, 0) n_lines, coalesce(quantity, 0) quantity, coalesce(n_final, 0) n_final,
+    case o_orderkey % 10
+      when 3 then case when n_twos > 0 then '$.lines[' || n_before || '].quantity: not a whole number' end
+      when 4 then '$.status: not one of F, O, P'
+      when 5 then '$.total.amount: missing'
+      when 6 then '$: not JSON'
+      when 7 then '$.note: missing' end fault
+  from orders left join (
+    select l_orderkey, count(*) n_lines, sum(cast(l_quantity as bigint)) quantity,
+           count(*) filter (l_linestatus = 'F') n_final,
+           count(*) filter (l_linenumber = 2) n_twos, count(*) filter (l_linenumber < 2) n_before
+    from lineitem group by l_orderkey) on l_orderkey = o_orderkey)""",
+    "stored_inference": """select o_orderkey, o_orderpriority <> '5-LOW' answered,
+  case when o_orderpriority <> '5-LOW'
+       then case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end * cast(substr(o_orderpriority, 1, 1) as integer) end as days,
+  case when o_orderpriority <> '5-LOW' then length(o_orderpriority) || ' letters' end reason
+from orders""",
     "error_rows": query(MODEL_CHAIN, f"""select {RESULT_COLUMNS} from results
 where erp_confidence = 0 and sources_found = 0"""),
     "corpus_search": query([TERMS], """select query_id, cast(rk as integer) "rank", doc_id, score

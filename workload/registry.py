@@ -2,14 +2,16 @@
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.functions import rubric
-from firmlens.functions.lineage import cut
+from firmlens.functions import declared, rubric
+from firmlens.functions.lineage import cut, shared_folder
 from firmlens.functions.text import tokens
 from firmlens.operators import (
+    answers,
     corpus_search,
     curate,
     extract,
@@ -143,6 +145,70 @@ def structured_inference(spark, sf_dir):
     return parsed.select(*curate.REQUEST, "valid", F.inline("scored_links"))
 
 
+ORDER_RESPONSE = declared.record(
+    {
+        "order": declared.WHOLE,
+        "status": declared.one_of("F", "O", "P"),
+        "note": declared.maybe(declared.TEXT),
+        "total": declared.record({"amount": declared.NUMBER, "currency": declared.default(declared.TEXT, "'USD'")}),
+        "lines": declared.list_of(
+            declared.record({"number": declared.WHOLE, "quantity": declared.WHOLE, "final": declared.FLAG})
+        ),
+    }
+)
+
+
+def parse_orders(spark, sf_dir):
+    """Nested responses read by a declared type; faults by their place."""
+    found = T.order_responses(spark, sf_dir).select("o_orderkey", declared.read(F.col("raw"), ORDER_RESPONSE).alias("r"))
+    lines = F.col("r.value.lines")
+    return found.select(
+        "o_orderkey",
+        F.col("r.fault").alias("fault"),
+        F.col("r.value.order").alias("order_number"),
+        F.col("r.value.status").alias("status"),
+        F.col("r.value.note").alias("note"),
+        F.col("r.value.total.amount").alias("amount"),
+        F.col("r.value.total.currency").alias("currency"),
+        F.when(lines.isNotNull(), F.size(lines)).alias("n_lines"),
+        F.aggregate(lines, F.lit(0).cast("bigint"), lambda a, x: a + x["quantity"]).alias("quantity"),
+        F.when(lines.isNotNull(), F.size(F.filter(lines, lambda x: x["final"]))).alias("n_final"),
+    )
+
+
+LATENESS = declared.record({"days": declared.WHOLE, "reason": declared.TEXT})
+
+
+def stored_inference(spark, sf_dir):
+    """Orders by a stand-in model that fails for one priority, asked through an answer store in
+    two runs: the second has a client that only fails, so its rows come from the store."""
+
+    def make_client():
+        def answer(batch):
+            out = []
+            for prompt in batch:
+                status, priority = re.search(r"status (\S+) and priority (.*)\?", prompt).groups()
+                days = {"F": 1, "O": 2, "P": 3}[status] * int(priority[0])
+                late = {"days": str(days), "reason": f"{len(priority)} letters"}
+                out.append("no idea" if priority == "5-LOW" else json.dumps(late))
+            return out
+
+        return answer
+
+    def no_client():
+        def answer(batch):
+            raise RuntimeError("asked again")
+
+        return answer
+
+    prompts, path = T.order_prompts(spark, sf_dir), f"{shared_folder(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    fits = lambda raw: declared.read(raw, LATENESS)["fault"].isNull()
+    answers.answer(prompts, make_client, ["o_orderkey"], path, "stand-in", fits)
+    again = answers.answer(prompts, no_client, ["o_orderkey"], path, "stand-in", fits)
+    late = declared.read(F.col("raw"), LATENESS)["value"]
+    return again.select("o_orderkey", F.col("raw").isNotNull().alias("answered"), late["days"].alias("days"), late["reason"].alias("reason"))
+
+
 def corpus_search_query(spark, sf_dir):
     queries = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return corpus_search.corpus_search(queries, T.table(spark, sf_dir, "documents"))
@@ -260,6 +326,8 @@ QUERIES = {
     "extract_prompts": extract_prompts,
     "parse_extractions": parse_extractions,
     "structured_inference": structured_inference,
+    "parse_orders": parse_orders,
+    "stored_inference": stored_inference,
     "error_rows": error_rows,
     "corpus_search": corpus_search_query,
     "search_pages": search_pages,

@@ -324,3 +324,47 @@ def extraction_responses(spark, sf_dir) -> DataFrame:
             F.lit(', "extra": [1]}'),
         ).alias("raw"),
     )
+
+
+def order_responses(spark, sf_dir) -> DataFrame:
+    """A nested response per order. By the last digit of its key it has: 3, a fraction as the
+    quantity of its lines numbered 2; 4, an unknown status; 5, no amount; 6, no closing brace;
+    7, no note; 8, an empty note and amounts as text; others fit."""
+    c = F.col
+    digit = c("o_orderkey") % 10
+    quantity = F.when((c("l_orderkey") % 10 == 3) & (c("l_linenumber") == 2), F.lit("7.5")).otherwise(
+        c("l_quantity").cast("int").cast("string")
+    )
+    line = F.struct(
+        c("l_linenumber").alias("number"),
+        quantity.alias("quantity"),
+        F.when(c("l_linestatus") == "F", F.lit("yes")).otherwise(F.lit("no")).alias("final"),
+    )
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_orderkey")
+        .agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), line.alias("line")))).alias("lines"))
+        .select(c("l_orderkey").alias("o_orderkey"), F.to_json(F.transform("lines", lambda x: x["line"])).alias("lines"))
+    )
+    amount = F.when(digit == 8, F.concat(F.lit('"'), c("o_totalprice").cast("string"), F.lit('"'))).otherwise(
+        c("o_totalprice").cast("string")
+    )
+    total = F.when(digit == 5, F.lit("{}")).otherwise(F.concat(F.lit('{"amount": '), amount, F.lit("}")))
+    note = F.when(digit == 8, F.lit("null")).otherwise(_quoted(c("o_orderpriority")))
+    body = F.concat(
+        F.lit('{"order": '), "o_orderkey", F.lit(', "status": "'),
+        F.when(digit == 4, F.lit("closed")).otherwise(c("o_orderstatus")), F.lit('"'),
+        F.when(digit == 7, F.lit("")).otherwise(F.concat(F.lit(', "note": '), note)),
+        F.lit(', "total": '), total, F.lit(', "lines": '), F.coalesce("lines", F.lit("[]")),
+        F.when(digit == 6, F.lit("")).otherwise(F.lit("}")),
+    )
+    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select("o_orderkey", body.alias("raw"))
+
+
+def order_prompts(spark, sf_dir) -> DataFrame:
+    """A question per order; all orders of a status and a priority ask the same."""
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("How late is an order of status "), "o_orderstatus", F.lit(" and priority "), "o_orderpriority", F.lit("?")).alias("prompt"),
+    )

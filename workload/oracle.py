@@ -408,6 +408,23 @@ p as (select doc_id, term, count(*) tf from t where term <> '' group by all),
 w as (
   select term, ln((select count(*) from documents) / count(*)) idf from p group by term)"""
 
+RANKED = """select query_id, cast(rk as integer) "rank", doc_id, score
+from (select *, row_number() over (partition by query_id order by score desc, doc_id) rk
+      from (select query_id, doc_id, round(sum(tf * idf), 6) score
+            from q join p using (term) join w using (term) group by all) scored
+      where {hits})
+where rk <= 8"""
+
+REQUIRED = """item as (
+  select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from benchmark),
+needs as (
+  select item_id query_id, ' ' || array_to_string(w[1:2], ' ') || ' ' phrase from item where item_id % 3 <> 0 and len(w) > 0
+  union all
+  select item_id, ' ' || w[5] || ' ' from item where item_id % 3 <> 0 and item_id % 2 = 0 and len(w) > 4),
+said as (
+  select doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ' words
+  from documents)"""
+
 REQUESTS = """requests as (
   select company_id, search_type,
          company_name || case search_type when 'revenue' then ' revenue' else ' "ERP"' end query
@@ -523,12 +540,11 @@ from (
 from orders""",
     "error_rows": query(MODEL_CHAIN, f"""select {RESULT_COLUMNS} from results
 where erp_confidence = 0 and sources_found = 0"""),
-    "corpus_search": query([TERMS], """select query_id, cast(rk as integer) "rank", doc_id, score
-from (select *, row_number() over (partition by query_id order by score desc, doc_id) rk
-      from (select query_id, doc_id, round(sum(tf * idf), 6) score
-            from q join p using (term) join w using (term) group by all)
-      where score > 0)
-where rk <= 8"""),
+    "corpus_search": query([TERMS], RANKED.format(hits="score > 0")),
+    "index_search": query([TERMS], RANKED.format(hits="score > 0")),
+    "phrase_search": query([TERMS, REQUIRED], RANKED.format(hits="""score > 0 and not exists (
+  select * from needs where needs.query_id = scored.query_id
+    and not exists (select * from said where said.doc_id = scored.doc_id and contains(said.words, needs.phrase)))""")),
     "lexicon_join": """with words as (
   select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w
   from benchmark),

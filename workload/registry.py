@@ -17,10 +17,12 @@ from firmlens.operators import (
     extract,
     inference,
     pages,
+    phrase_search,
     prompts,
     requests,
     results,
     score_links,
+    search_index,
     summary,
 )
 from firmlens.plans import enrich
@@ -214,6 +216,35 @@ def corpus_search_query(spark, sf_dir):
     return corpus_search.corpus_search(queries, T.table(spark, sf_dir, "documents"))
 
 
+def _document_index(spark, sf_dir) -> search_index.SearchIndex:
+    """All documents, in an index that first held other texts of those of one language."""
+    index = search_index.SearchIndex(spark, f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    docs = T.table(spark, sf_dir, "documents")
+    older = docs.where("lang = 'en'").select("doc_id", F.substring_index("text", " ", 40).alias("text"))
+    index.update(older)
+    index.update(docs)
+    return index
+
+
+def index_search(spark, sf_dir):
+    """The hits of ``corpus_search``, from an index that was appended to and merged."""
+    index = _document_index(spark, sf_dir)
+    index.merge()
+    queries = T.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.search(queries)
+
+
+def phrase_search_query(spark, sf_dir):
+    """Benchmark items whose first two words must occur side by side; for even ids the fifth
+    word must occur as well, and every third item asks without requirements."""
+    item, words = F.col("item_id"), tokens(F.col("text"))
+    pair = F.concat(F.lit('"'), F.array_join(F.slice(words, 1, 2), " "), F.lit('" '))
+    fifth = F.when(item % 2 == 0, F.concat(F.lit('"'), F.get(words, 4), F.lit('" ')))
+    text = F.when(item % 3 == 0, F.col("text")).otherwise(F.concat(pair, F.coalesce(fifth, F.lit("")), "text"))
+    queries = T.table(spark, sf_dir, "benchmark").select(item.alias("query_id"), text.alias("text"))
+    return phrase_search.phrase_search(queries, _document_index(spark, sf_dir))
+
+
 def search_pages(spark, sf_dir):
     asked = requests.search_requests(T.companies(spark, sf_dir))
     return corpus_search.search_pages(asked, T.web_pages(spark, sf_dir))
@@ -330,6 +361,8 @@ QUERIES = {
     "stored_inference": stored_inference,
     "error_rows": error_rows,
     "corpus_search": corpus_search_query,
+    "index_search": index_search,
+    "phrase_search": phrase_search_query,
     "search_pages": search_pages,
     "lexicon_join": lexicon_join,
     "score_links_rules": score_links_rules,

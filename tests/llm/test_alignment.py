@@ -131,6 +131,20 @@ def test_one_long_chain():
     assert set(alignment.terminals(a, b).tolist()) == {len(a) + len(b) - 1}
 
 
+def test_segments_give_the_ids_of_whole_texts():
+    """The short ways, segment by segment, against the libraries over whole texts."""
+    words = alignment.Vocabularies(*both_vocabularies())
+    assert words.short_a and words.short_b
+    rng = random.Random(12)
+    parts = [" ", "  ", "\n", "\r\n", "\t", "a", "The", "Über", "straße", "it's", "'LL", "'", '"', "12", "3456", ".", "...", "—", "x" * 40, "tion", "é", "ß,"]
+    odd = ["\u00a0", "日本", "🙂", "▁", "<s>", "<|endoftext|>", "\x00", "ª", "²", "\u2028"]
+    for n in range(4000):
+        text = "".join(rng.choice(parts + odd * (n % 4 == 0)) for _ in range(rng.randrange(1, 12)))
+        whole = words._whole_a(" " + text), words._whole_b(" " + text)
+        wanted = (b"", b"") if None in whole else whole
+        assert tuple(x.tobytes() for x in words.encode(text)) == wanted, repr(text)
+
+
 def test_alignment_query(spark, sides):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     found = op13_alignment(spark, SF_DIR)

@@ -9,8 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from firmlens.functions import negation, rubric
 from firmlens.functions import revenue as R
-from firmlens.functions import rubric
 from firmlens.functions import text as X
 from firmlens.functions.joins import SALTS, fan_out_join
 from firmlens.functions.markdown import markdown
@@ -27,7 +27,8 @@ EVIDENCE = (
 
 @dataclass
 class Lexicons:
-    """Word lists and exchange rates of the extraction, all replaceable."""
+    """Word lists and exchange rates of the extraction, all replaceable. With ``negation``,
+    brands, sizes and types count only where the sentence does not take them back."""
 
     brands: tuple = rubric.BRANDS
     context: list = field(default_factory=lambda: list(rubric.ERP_CONTEXT))
@@ -35,6 +36,7 @@ class Lexicons:
     types: dict = field(default_factory=lambda: dict(rubric.BUSINESS_TYPES))
     weak_sources: list = field(default_factory=lambda: list(rubric.WEAK_SOURCES))
     usd_rates: dict = field(default_factory=lambda: dict(R.USD_RATES))
+    negation: bool = False
 
 
 def _item(kind: str, value: Column, context=None, year=None, usd=None) -> Column:
@@ -91,6 +93,7 @@ def page_evidence(pages: DataFrame, lexicons: Lexicons) -> DataFrame:
     # Each step is a column of its own, so that no pattern runs twice.
     figured = R.with_figure(told, sentence, F.col("money"), lexicons.usd_rates).withColumns(
         {
+            "said": F.when(F.col("named"), negation.asserted(sentence)) if lexicons.negation else F.col("words"),
             "growth": F.when(F.col("money"), R.growth_rate(sentence)),
             "market_cap": F.when(F.col("cap"), R.market_cap(sentence)),
         }
@@ -102,9 +105,9 @@ def page_evidence(pages: DataFrame, lexicons: Lexicons) -> DataFrame:
         F.when(
             F.col("named"),
             F.concat(
-                _terms(ERP_BRAND, F.col("words"), {b: [b] for b in lexicons.brands}, context),
-                _terms(SIZE, F.col("words"), lexicons.sizes),
-                _terms(TYPE, F.col("words"), lexicons.types),
+                _terms(ERP_BRAND, F.col("said"), {b: [b] for b in lexicons.brands}, context),
+                _terms(SIZE, F.col("said"), lexicons.sizes),
+                _terms(TYPE, F.col("said"), lexicons.types),
             ),
         ).otherwise(none),
         _one(REVENUE, F.col("amount"), year=F.col("amount_year"), usd=F.col("amount_usd")),

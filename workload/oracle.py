@@ -5,6 +5,7 @@ come from the library, the logic does not.
 """
 
 from firmlens.functions import markdown as M
+from firmlens.functions import negation as N
 from firmlens.functions import prompts as P
 from firmlens.functions import revenue as R
 from firmlens.functions import rubric
@@ -227,12 +228,25 @@ SENTENCES = f"""sent as (
 said as (select *, {words('sentence')} w from sent)"""
 
 
-def _mentions(kind: str, classes: dict, context: str = "false") -> str:
+def _rewrites(text: str, rewrites) -> str:
+    for pattern, replacement in rewrites:
+        replacement = replacement.replace("$1", r"\1").replace("$2", r"\2")
+        text = f"regexp_replace({text}, {lit(pattern)}, {lit(replacement)}, 'g')"
+    return text
+
+
+_padded = "' ' || trim({}) || ' '"
+_clauses = _rewrites("(" + _padded.format(_rewrites("lower(sentence)", N.WORDS)) + ")", N.CLAUSES)
+_kept = f"array_to_string(list_transform(string_split({_clauses}, '{N.CLAUSE}'), lambda c: {_rewrites('c', N.SCOPES)}), ' ')"
+ASSERTED = SENTENCES.replace("select *, ", f"select *, {_padded.format(_rewrites(_kept, N.TOGETHER))} a, ")
+
+
+def _mentions(kind: str, classes: dict, context: str = "false", text: str = "w") -> str:
     names = {X.phrase(t): name for name, ts in classes.items() for t in ts}
     pattern = lit(X.phrase_pattern(list(names)))
     return f"""select url, w, '{kind}' kind, {cases('phrase', names)} as value, ctx,
        cast(null as integer) yr, cast(null as decimal(38,2)) usd
-  from (select url, w, {context} ctx, unnest(regexp_extract_all(w, {pattern}, 1)) phrase from said)"""
+  from (select url, w, {context} ctx, unnest(regexp_extract_all({text}, {pattern}, 1)) phrase from said)"""
 
 
 def _amount(symbol: str, number: str, scale: str) -> str:
@@ -244,7 +258,8 @@ _growth, _cap = lit(R.GROWTH), lit(R.MARKET_CAP)
 _scale = " ".join(f"when {lit(k)} then {v}" for k, v in R.SCALES.items())
 _rate = " ".join(f"when {lit(k)} then {R.USD_RATES[v]}" for k, v in R.CURRENCIES.items())
 
-EVIDENCE = f"""figure as (
+def evidence(text: str) -> str:
+    return f"""figure as (
   select url, w, sentence,
          case when regexp_extract(sentence, {_after}, 2) <> '' then
            [regexp_extract(sentence, {_after}, 1), regexp_extract(sentence, {_after}, 2),
@@ -267,9 +282,9 @@ dated as (
          length(regexp_extract(head, {lit(R.YEAR_BEFORE)}, 2)) gb
   from placed),
 evidence as (
-  {_mentions('erp', {b: [b] for b in rubric.BRANDS}, any_of('w', rubric.ERP_CONTEXT))}
-  union all {_mentions('size', rubric.SIZES)}
-  union all {_mentions('type', rubric.BUSINESS_TYPES)}
+  {_mentions('erp', {b: [b] for b in rubric.BRANDS}, any_of('w', rubric.ERP_CONTEXT), text)}
+  union all {_mentions('size', rubric.SIZES, text=text)}
+  union all {_mentions('type', rubric.BUSINESS_TYPES, text=text)}
   union all
   select url, w, 'revenue', {_amount('f[1]', 'f[2]', 'f[3]')}, false,
          cast(case when ya is not null and (yb is null or ga <= gb) then ya else yb end as integer),
@@ -326,7 +341,9 @@ records as (
   left join best using (company_id)
   group by company_id)"""
 
+EVIDENCE = evidence("w")
 RULE_RECORDS = [*BY_RULES, WEB, MD, SENTENCES, EVIDENCE]
+ASSERTED_RECORDS = [*BY_RULES, WEB, MD, ASSERTED, evidence("a")]
 
 # --- model extraction --------------------------------------------------------
 
@@ -570,6 +587,8 @@ select doc_id, category, term, count(*) n from said join lexicon using (category
     "extract_revenue": query(RULE_RECORDS, """select company_id, annual_revenue, revenue_confidence, revenue_range
 from records"""),
     "extract_size_type": query(RULE_RECORDS, "select company_id, company_size, business_type from records"),
+    "extract_asserted": query(ASSERTED_RECORDS, """select company_id, erp_system, erp_confidence, company_size, business_type
+from records"""),
     "revenue_bucket": """select o_orderkey, case when usd < 1000000 then 'Under $1M'
   when usd < 10000000 then '$1M-$10M' when usd < 50000000 then '$10M-$50M'
   when usd < 100000000 then '$50M-$100M' else '$100M+' end revenue_range

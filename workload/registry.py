@@ -298,6 +298,14 @@ def extract_size_type(spark, sf_dir):
     return extract.size_type_findings(_records(spark, sf_dir))
 
 
+def extract_asserted(spark, sf_dir):
+    """System, size and type by what the pages' sentences assert, not by what they deny."""
+    chosen = cut(enrich.curated_by_rules(T.hits(T.raw_hits(spark, sf_dir))))
+    asserted = extract.Lexicons(negation=True)
+    records = extract.extract(chosen, T.web_pages(spark, sf_dir), T.companies(spark, sf_dir), asserted)
+    return records.select("company_id", "erp_system", "erp_confidence", "company_size", "business_type")
+
+
 def revenue_bucket(spark, sf_dir):
     usd = F.col("o_totalprice").cast("decimal(18,2)") * 300
     return T.table(spark, sf_dir, "orders").select(
@@ -369,6 +377,7 @@ QUERIES = {
     "extract_erp": extract_erp,
     "extract_revenue": extract_revenue,
     "extract_size_type": extract_size_type,
+    "extract_asserted": extract_asserted,
     "revenue_bucket": revenue_bucket,
     "summary_counts": summary_counts,
     "erp_top5": erp_top5,

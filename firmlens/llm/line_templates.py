@@ -39,9 +39,15 @@ _DOC, _BODY = "_doc_of_lines", "_text_of_lines"
 _KEY = [_DOC, _BODY]
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\v\f\r"))
+
+
 def _masked(line: Column) -> Column:
-    tokens = F.filter(F.split(line, r"\s+"), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), FIELD).otherwise(t))
+    """Tokens of a trimmed line that is not empty. Each pattern reads a line once: fields are
+    looked for in lines with a digit, and only from where a token begins."""
+    fields = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)
+    return F.split(F.when(line.rlike("[0-9]"), fields).otherwise(line), r"\s+")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -61,7 +67,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = _keyed(docs).where("text IS NOT NULL").select(
         *_KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
-    lines = lines.select(*_KEY, "line_no", _masked(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    lines = lines.select(*_KEY, "line_no", _trimmed(F.col("line")).alias("line")).where("line != ''")
+    lines = lines.select(*_KEY, "line_no", _masked(F.col("line")).alias("tokens"))
     return lines.select(
         *_KEY,
         "line_no",
@@ -83,7 +90,7 @@ def _generalised(docs: DataFrame, kinds: DataFrame, min_docs: int, fixed: float)
     # Repeated rows would bring their lines again.
     found = texts.join(cut(wanted), _KEY).withColumn("lines", F.split("text", "\n"))
     found = found.select(F.explode("wanted").alias("w"), "lines").select(
-        "w.leaf", "w.whole", "w.docs", _masked(F.element_at("lines", F.col("w.line_no") + 1)).alias("tokens")
+        "w.leaf", "w.whole", "w.docs", _masked(_trimmed(F.element_at("lines", F.col("w.line_no") + 1))).alias("tokens")
     )
     found = cut(found.dropDuplicates(["leaf", "whole"]))
     tokens = found.select("leaf", "whole", "docs", F.posexplode("tokens").alias("place", "token"))

@@ -92,11 +92,11 @@ def _confirmed(kind: str, match: Column) -> Column:
 _SHAPE = "array<struct<start:int,end:int,text:string>>"
 
 
-def _moves(text: Column, pattern: str, matches: Column) -> Column:
-    """For each match the length of what lies before it, its own length, and its text."""
-    between = F.split(text, pattern, -1)
+def _moves(gaps: Column, matches: Column) -> Column:
+    """For each match the length of what lies before it, its own length, and its text.
+    ``gaps``: the stretches between matches, one more than there are matches."""
     return F.zip_with(
-        F.slice(between, F.lit(1), F.greatest(F.size(matches), F.lit(1))),
+        F.slice(gaps, F.lit(1), F.greatest(F.size(matches), F.lit(1))),
         matches,
         lambda gap, match: F.struct(
             F.length(gap).alias("gap"), F.length(match).alias("size"), match.alias("text")
@@ -104,6 +104,35 @@ def _moves(text: Column, pattern: str, matches: Column) -> Column:
     )
 
 
+# A match has two characters and a gap one at least: so many reach over the context.
+_NEIGHBOURS = CONTEXT_CHARS // 3
+
+
+def _surroundings(gaps: Column, matches: Column) -> Column:
+    """What lies within reach before and after each match, from the ends of the gaps and matches
+    next to it: no text is searched from its start for a place in it."""
+    last = lambda c: F.right(c, F.lit(CONTEXT_CHARS))
+    first = lambda c: F.left(c, F.lit(CONTEXT_CHARS))
+    count = F.size(matches)
+    ends = F.struct(
+        F.transform(gaps, last).alias("gap_ends"),
+        F.transform(gaps, first).alias("gap_heads"),
+        F.zip_with(F.slice(gaps, F.lit(1), count), matches, lambda g, m: F.concat(last(g), last(m))).alias("before"),
+        F.zip_with(matches, F.slice(gaps, F.lit(2), count), lambda m, g: F.concat(first(m), first(g))).alias("after"),
+    )
+
+    def around(e: Column) -> Column:
+        def of(at: Column) -> Column:
+            reach = F.least(at, F.lit(_NEIGHBOURS))
+            before = F.concat(F.array_join(F.slice(e["before"], at - reach + 1, reach), ""), e["gap_ends"][at])
+            after = F.concat(e["gap_heads"][at + 1], F.array_join(F.slice(e["after"], at + 2, F.lit(_NEIGHBOURS)), ""))
+            return F.concat(last(before), F.lit(" "), first(after))
+
+        return F.transform(F.sequence(F.lit(0), count - 1), of)
+
+    return F.transform(F.array(ends), around)[0]
+
+
 def _placed(moves: Column) -> Column:
     """Matches in order, as (from, to, text).
 
@@ -158,20 +187,15 @@ def _placed(moves: Column) -> Column:
     return F.when(F.size(moves) > 0, F.flatten(moved["spans"])).otherwise(F.array().cast(_SHAPE))
 
 
-def _scored(kind: str, text: Column, spans: Column) -> Column:
+def _scored(kind: str, spans: Column, around: Column) -> Column:
     """Confirmed spans with a score; words of the trade are looked for on both sides."""
-    near = lambda s: F.concat(
-        F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS))),
-        F.lit(" "),
-        F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS)),
-    )
     scored = F.transform(
-        F.filter(spans, lambda s: _confirmed(kind, s["text"])),
+        F.filter(F.arrays_zip(spans.alias("span"), around.alias("around")), lambda s: _confirmed(kind, s["span"]["text"])),
         lambda s: F.struct(
             F.lit(kind).alias("kind"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.when(near(s).rlike(f"(?i){CONTEXT[kind]}"), START[kind] + NEARBY).otherwise(START[kind]).alias("score"),
+            s["span"]["start"].alias("start"),
+            s["span"]["end"].alias("end"),
+            F.when(s["around"].rlike(f"(?i){CONTEXT[kind]}"), START[kind] + NEARBY).otherwise(START[kind]).alias("score"),
         ),
     )
     return scored if kind in KINDS else F.filter(scored, lambda s: s["score"] >= LEAST)
@@ -201,12 +225,17 @@ def find_spans(docs: DataFrame) -> DataFrame:
     some = lambda k: F.size(f"_{k}") > 0
     none = F.array().cast("array<struct<gap:int,size:int,text:string>>")
     out = out.withColumns(found)
-    out = out.withColumns({f"_{k}": F.when(some(k), _moves(text, p, F.col(f"_{k}"))).otherwise(none) for k, p in _PATTERN.items()})
+    strings = F.array().cast("array<string>")
+    out = out.withColumns({f"_gaps_{k}": F.when(some(k), F.split(text, p, -1)).otherwise(strings) for k, p in _PATTERN.items()})
+    gaps = lambda k: F.col(f"_gaps_{k}")
+    out = out.withColumns({f"_around_{k}": F.when(some(k), _surroundings(gaps(k), F.col(f"_{k}"))).otherwise(strings) for k in _PATTERN})
+    out = out.withColumns({f"_{k}": F.when(some(k), _moves(gaps(k), F.col(f"_{k}"))).otherwise(none) for k in _PATTERN})
     out = out.withColumns({f"_{k}": _placed(F.col(f"_{k}")) for k in _PATTERN})
+    source = lambda k: "card" if k == "shortcard" else k
     return out.select(
         "doc_id",
         "text",
-        *(_scored(k, F.col("text"), F.col("_card" if k == "shortcard" else f"_{k}")).alias(k) for k in [*KINDS, *ADDED]),
+        *(_scored(k, F.col(f"_{source(k)}"), F.col(f"_around_{source(k)}")).alias(k) for k in [*KINDS, *ADDED]),
     )
 
 

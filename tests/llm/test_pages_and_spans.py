@@ -4,9 +4,11 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from cases import no_documents, odd_documents
+from pyspark.sql import functions as F
 
 from firmlens.llm import archive, pii
 from firmlens.llm.queries import op9_pii, op10_archive
@@ -82,6 +84,32 @@ def test_added_kinds(spark, text, kinds):
     assert [s.kind for k in pii.ADDED for s in row[k]] == kinds
 
 
+def test_many_spans_take_linear_time(spark):
+    """Four times the spans take some four times as long: no text is searched once per span."""
+    seconds = []
+    for n in (1000, 10_000, 40_000):
+        docs = spark.createDataFrame([(1, "a@b.cd " * n)], "doc_id long, text string")
+        start = time.perf_counter()
+        assert pii.find_spans(docs).select(F.size("email").alias("n")).first().n == n
+        seconds.append(time.perf_counter() - start)
+    assert seconds[2] < 8 * max(seconds[1], 1)
+
+
+def test_context_reaches_over_neighbouring_spans(spark):
+    """The words around are those of the text, also where spans stand close to each other."""
+    rng = random.Random(9)
+    parts = ["a@b.cd", " ", "1.2.3.4", "4111111111111111", "card ", "+1 234 567 8901", "12", "host", "\n", "é", "bank ", "378282246310005", "x" * 30, ","]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 50))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_spans(docs).collect():
+        for kind in [*pii.KINDS, *pii.ADDED]:
+            for s in r[kind]:
+                reach = pii.CONTEXT_CHARS
+                near = texts[r.doc_id][max(0, s.start - reach) : s.start] + " " + texts[r.doc_id][s.end : s.end + reach]
+                raised = re.search(f"(?i){pii.CONTEXT[kind]}", near) is not None
+                assert s.score == pytest.approx(pii.START[kind] + pii.NEARBY * raised)
+
+
 def test_context_raises_the_score(spark):
     rows = [(1, "call me: +1 (234) 567-8901"), (2, "it is +1 (234) 567-8901")]
     found = pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()

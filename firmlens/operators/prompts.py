@@ -12,7 +12,8 @@ from firmlens.schemas import LINK_SEPARATOR
 def link_prompts(links: DataFrame, companies: DataFrame) -> DataFrame:
     """One scoring prompt per request that has links: ``company_id, search_type, prompt``.
 
-    A search returns a handful of hits, so a request's list stays small.
+    A model reads the links of a request together, so they become one text: bound the hits of
+    a request (``HITS_PER_SEARCH``) where a search may return any number.
     """
     item = F.concat(
         F.lit("URL: "), "url", F.lit("\nTitle: "), "title", F.lit("\nSnippet: "), "snippet"

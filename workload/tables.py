@@ -5,7 +5,7 @@
   the given ``pages``;
 - search hits: for a revenue search the company's orders, for an ERP search the
   lines of its orders, which lead to the report page, to a given page or to a part
-  page that does not exist. A search returns eight hits, as the search API does;
+  page that does not exist. Every order and order line is a hit;
 - responses: JSON texts such as a search API or a model returns, built from the
   hits and customers, with the faults that such texts have.
 """

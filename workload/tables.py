@@ -359,7 +359,11 @@ def order_responses(spark, sf_dir) -> DataFrame:
         F.lit(', "total": '), total, F.lit(', "lines": '), F.coalesce("lines", F.lit("[]")),
         F.when(digit == 6, F.lit("")).otherwise(F.lit("}")),
     )
-    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").select("o_orderkey", body.alias("raw"))
+    # Responses are read right away, at some cost a row: they are spread over the cluster first.
+    spread = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").repartition(
+        spark.sparkContext.defaultParallelism, "o_orderkey"
+    )
+    return spread.select("o_orderkey", body.alias("raw"))
 
 
 def order_prompts(spark, sf_dir) -> DataFrame:

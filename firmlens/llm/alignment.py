@@ -41,7 +41,7 @@ CHUNK_DOCS = 5_000
 _ID_BITS = 32
 
 
-CACHED_SEGMENTS = 300_000
+CACHED_SEGMENTS = 500_000  # the first met, among them nearly all frequent ones; the others are encoded each time
 CACHED_CHARS = 32
 _NO_IDS = np.empty(0, "<u4")
 _ALPHABET = _byte_alphabet()
@@ -72,7 +72,7 @@ class _Segments(dict):
 
     def __missing__(self, segment: str) -> bytes | None:
         ids = _checked(self.model(segment), self.bytes_of, segment)
-        if len(segment) <= CACHED_CHARS:
+        if len(segment) <= CACHED_CHARS and len(self) < CACHED_SEGMENTS:
             self[segment] = ids
         return ids
 
@@ -130,8 +130,6 @@ class Vocabularies:
 
     @staticmethod
     def _by_segments(known: _Segments, pattern: re.Pattern, text: str) -> bytes | None:
-        if len(known) > CACHED_SEGMENTS:
-            known.clear()
         parts = list(map(known.__getitem__, pattern.findall(text)))
         return None if None in parts else b"".join(parts)
 

@@ -9,9 +9,12 @@ copies never meet in pairs. Classes whose signatures agree in a band share a buc
 - Survivors are verified on full sets: first one partner for each class, then only pairs
   between different components, the most alike first.
 - In a bucket that still holds several components, members outside its largest one are
-  compared, block by block and by signature, with all members of other components; survivors are
-  verified too. So of the candidates that bands give, only those are left out that a chain of
-  links already joins: the components are those of all candidate pairs.
+  compared, block by block and by signature, with all members of other components. A pair
+  that shares several buckets is compared in that of the first band only. Members of surviving
+  pairs get their sets, and each block verifies its pairs itself: of the links it gives back only
+  those that join what it has not joined yet, less than it has members. So of the
+  candidates that bands give, only those are left out that a chain of links already joins: the
+  components are those of all candidate pairs.
 
 Bands are so many that a pair at the threshold is missed with a chance of some 1e-7.
 
@@ -43,10 +46,13 @@ BATCH = 16
 MISS = 1e-6
 SURE = 0.87  # agreement from which a first partner is taken by chance, not by agreement
 PER_PAIR = 8  # pairs of two components that are verified before all others
-BLOCK = 256  # members of a bucket that are compared with as many others at a time
+BLOCK = 1024  # members of a bucket that are compared with as many others at a time
+BLOCK_SHINGLES = 1_000_000  # and the shingles of either side, on average
 PAIRS_AT_ONCE = 256
 _WIDTH = 4  # bytes of a hash in a signature
 SETS = "doc_id long, n_shingles long, set_a long, set_b long, signature binary"
+_BLOCK = ["band", "bucket", "rows", "columns"]
+MEMBERS = "band int, bucket long, rows int, columns int, right boolean, node long, component long, signature binary"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -160,9 +166,9 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     filled = sets.where("n_shingles > 0")
     classes = cut(filled.groupBy(name).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
     nodes = sets.withColumnRenamed("doc_id", "node").join(classes, ["node", *name])
-    nodes = cut(nodes.select("node", "signature").distinct())
+    nodes = cut(nodes.select("node", "n_shingles", "signature").distinct())
 
-    bands = nodes.select("node", F.explode(_band_keys("signature")).alias("bucket"))
+    bands = nodes.select("node", F.posexplode(_band_keys("signature")).alias("band", "bucket"))
     pick = F.min(F.struct(F.xxhash64("bucket", "node"), F.col("node").alias("node")))
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("members"), pick.alias("centre"))
     buckets = cut(buckets.where("members > 1").select("bucket", F.col("centre.node").alias("centre")))
@@ -204,7 +210,7 @@ class _Search:
         across = self._across(pairs).withColumn("place", F.row_number().over(best))
         self._link(across.where(F.col("place") <= PER_PAIR).select("a", "b"))
         self._link(self._across(pairs).select("a", "b"))
-        self._link(self._leftovers())
+        self.labels = join_components(self.labels, self._leftovers().distinct())
         return self.labels
 
     def _rated(self, pairs: DataFrame) -> DataFrame:
@@ -262,19 +268,23 @@ class _Search:
         self.labels = join_components(self.labels, links)
 
     def _leftovers(self) -> DataFrame:
-        """Pairs that pass the sequential test, between members of a bucket outside its
-        largest component and members of other components."""
-        threshold = self.percent / 100
-        members = self.crowded.join(self.labels, "node").select("bucket", "node", "component")
+        """Links between members of a bucket outside its largest component and members of other
+        components: from each block as many as join its components, and no more."""
+        threshold, words, percent = self.percent / 100, self.words, self.percent
+        members = self.crowded.join(self.labels, "node").select("band", "bucket", "node", "component")
         counts = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         main = F.max(F.struct("n", "component"))
         mixed = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), main.alias("main")).where("kinds > 1")
         mixed = cut(mixed.select("bucket", F.col("main.component").alias("main")))
         members = cut(members.join(mixed, "bucket")).join(self.nodes, "node")
-        members = cut(members.select("bucket", "node", "component", "signature", "main"))
-        blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
-        outside = F.count_if(F.col("component") != F.col("main"))
-        sizes = members.groupBy("bucket").agg(blocks(F.count("*")).alias("rows"), blocks(outside).alias("columns"))
+        members = cut(members.select("band", "bucket", "node", "component", "n_shingles", "signature", "main"))
+        outside = F.col("component") != F.col("main")
+
+        def blocks(here: Column) -> Column:
+            shingles = F.sum(F.when(here, F.col("n_shingles")).otherwise(0))
+            return F.greatest(F.ceil(F.count_if(here) / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+        sizes = members.groupBy("bucket").agg(blocks(F.lit(True)).alias("rows"), blocks(outside).alias("columns"))
         members = members.join(cut(sizes), "bucket")
 
         def side(rows: DataFrame, right: bool) -> DataFrame:
@@ -282,42 +292,109 @@ class _Search:
             own, other = ("columns", "rows") if right else ("rows", "columns")
             place = F.pmod(F.xxhash64("node"), F.col(own)).cast("int").alias(own)
             every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)
-            return rows.select("bucket", place, every, F.lit(right).alias("right"), "node", "component", "signature")
+            placed = rows.select("band", "bucket", place, every, F.lit(right).alias("right"), "node", "component", "signature")
+            return placed.select(*_BLOCK, "right", "node", "component", "signature")
 
-        key = ["bucket", "rows", "columns"]
-        both = side(members, False).unionByName(side(members.where("component != main"), True))
-        both = both.repartition(*key).sortWithinPartitions(*key)
+        def in_doubt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Members of a block with a pair that the sequential test keeps."""
+            for block in _blocks(batches):
+                left, right = _alike(block, threshold)
+                yield block.iloc[np.unique(np.concatenate([left, right]))]
 
-        def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Blocks follow each other; one that goes on in the next batch waits for it."""
-            kept = None
+        def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            shingles = Shingles(words)
             for batch in batches:
-                batch = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-                named = batch[key].to_numpy()
-                ends = np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1
-                for start, end in zip([0, *ends[:-1]], ends):
-                    yield from _alike(batch.iloc[start:end], threshold)
-                kept = batch.iloc[ends[-1] if len(ends) else 0 :]
-            if kept is not None:
-                yield from _alike(kept, threshold)
-
-        return both.mapInPandas(alike, "a long, b long").distinct()
-
-
-def _alike(block: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
-    """Pairs of both sides of a block, in different components, that the test keeps."""
+                found = [shingles.of(text).tobytes() for text in batch["text"]]
+                yield pd.DataFrame({"node": batch["node"], "hashes": found})
+
+        def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for block in _blocks(batches):
+                yield _spanning_links(block, threshold, percent)
+
+        both = side(members, False).unionByName(side(members.where(outside), True))
+        both = both.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+        doubted = cut(both.mapInPandas(in_doubt, MEMBERS))
+        bodies = self.bodies.join(doubted.select("node").distinct(), "node", "left_semi")
+        # A node may stand for several rows with one id; any of its texts would bring its own links.
+        full = doubted.join(bodies.mapInPandas(hashes, "node long, hashes binary"), "node")
+        full = full.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+        with _small_batches(full.sparkSession, PAIRS_AT_ONCE):
+            return cut(full.mapInPandas(links, "a long, b long"))
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks follow each other; one that goes on in the next batch waits for its parts."""
+    parts: list[pd.DataFrame] = []
+    current = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        named = batch[_BLOCK].to_numpy()
+        starts = [0, *np.flatnonzero((named[1:] != named[:-1]).any(axis=1)) + 1, len(batch)]
+        for start, end in zip(starts, starts[1:]):
+            if parts and tuple(named[start]) != current:
+                yield pd.concat(parts, ignore_index=True)
+                parts = []
+            current = tuple(named[start])
+            parts.append(batch.iloc[start:end])
+    if parts:
+        yield pd.concat(parts, ignore_index=True)
+
+
+def _alike(block: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of both sides of a block, in different components, that the test keeps
+    and that share no bucket of an earlier band."""
     right = block["right"].to_numpy(bool)
-    nodes, component = block["node"].to_numpy(), block["component"].to_numpy()
+    component = block["component"].to_numpy()
     hashes = _signatures(block["signature"])
+    bands = hashes.reshape(-1, BANDS, ROWS)
+    band = int(block["band"].iloc[0])
     x, y = np.flatnonzero(~right), np.flatnonzero(right)
     step = max(1, 50_000 // max(len(y), 1))
+    found = [(np.zeros(0, np.int64),) * 2]
     for start in range(0, len(x), step):
         i, j = np.nonzero(component[x[start : start + step], None] != component[None, y])
         i, j = x[start + i], y[j]
         near = agreements(hashes[i], hashes[j], threshold) >= 0
-        if near.any():
-            one, other = nodes[i[near]], nodes[j[near]]
-            yield pd.DataFrame({"a": np.minimum(one, other), "b": np.maximum(one, other)})
+        i, j = i[near], j[near]
+        same = (bands[i, : band + 1] == bands[j, : band + 1]).all(axis=2)
+        first = same[:, band] & ~same[:, :band].any(axis=1)
+        found.append((i[first], j[first]))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _spanning_links(block: pd.DataFrame, threshold: float, percent: int) -> pd.DataFrame:
+    """Verified pairs of a block, each of which joins components that those before it left apart."""
+    left, right = _alike(block, threshold)
+    nodes = block["node"].to_numpy()
+    sizes = block["hashes"].map(len).to_numpy() // 8
+    _, places = np.unique(np.frombuffer(b"".join(block["hashes"]), "<u8"), return_inverse=True)
+    ends = np.cumsum(sizes)
+    sets = [places[end - size : end] for end, size in zip(ends, sizes)]
+    marked = np.zeros(len(places), bool)
+    _, group = np.unique(block["component"].to_numpy(), return_inverse=True)
+    above = list(range(len(group)))
+
+    def top(place: int) -> int:
+        while above[place] != place:
+            above[place] = place = above[above[place]]
+        return place
+
+    found, last = [], None
+    for i, j in zip(left.tolist(), right.tolist()):
+        one, other = top(group[i]), top(group[j])
+        if one == other or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
+            continue
+        if i != last:
+            if last is not None:
+                marked[sets[last]] = False
+            marked[sets[i]] = True
+            last = i
+        common = int(np.count_nonzero(marked[sets[j]]))
+        if 100 * common >= percent * (int(sizes[i]) + int(sizes[j]) - common):
+            above[one] = other
+            found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 @contextmanager

@@ -76,6 +76,42 @@ def test_chains_and_large_groups(spark):
     check(rows, docs)
 
 
+def test_large_group_just_below_the_threshold_writes_no_pairs(spark, monkeypatch):
+    base, n = prose(300, 4), 400
+    docs = [(i, changed(base, 11, i)) for i in range(n)]  # most pairs at 0.72 to 0.8, few above it
+    docs += [(1000 + i, changed(text, 2, i)) for i, (_, text) in enumerate(docs[:10])]
+    written, cut = [], near_dup.cut
+
+    def counted(df, *how):
+        out = cut(df, *how)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "cut", counted)
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    check(near_dup.components(frame).collect(), docs)
+    assert max(written) <= near_dup.BANDS * len(docs) * 2 < len(docs) ** 2 / 4
+
+
+def test_block_gives_back_links_that_span_it():
+    import numpy as np
+    import pandas as pd
+
+    texts = [changed(prose(200, 5), 2, i) for i in range(60)] + [prose(200, 6)] * 2
+    sets = [near_dup.Shingles().of(t) for t in texts]
+    rows = [(0, 0, 0, 0, right, i, i, near_dup.signature(s), s.tobytes()) for right in (False, True) for i, s in enumerate(sets)]
+    columns = [*near_dup._BLOCK, "right", "node", "component", "signature", "hashes"]
+    block = pd.DataFrame(rows, columns=columns)
+    signatures = near_dup._signatures(block["signature"])
+    first = signatures[:, : near_dup.ROWS]
+    block = block[(first == first[0]).all(axis=1)]  # those that share the bucket of band 0
+    links = near_dup._spanning_links(block, 0.8, 80)
+    assert len(block) > 20 and len(links) == block["node"].nunique() - 1
+    block = block.assign(band=1)  # pairs of an earlier band are not compared again
+    assert near_dup._spanning_links(block, 0.8, 80).empty and not np.any(links["a"] >= links["b"])
+
+
 def test_similarity_just_at_the_threshold(spark):
     words = [f"w{i}" for i in range(13)]
     docs = [(1, " ".join(words[:12])), (2, " ".join([*words[:11], "z"])), (3, " ".join(words))]

@@ -15,6 +15,8 @@ from firmlens.llm.queries import folder, table, vocabulary
 
 #: Stages on word shingles take five words.
 SHINGLE_WORDS = 5
+#: Documents of which this share of the tokens recurs are copies for near_dup to choose among.
+COPY = 0.5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def _without_lines(docs: DataFrame, copy: float | None) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines whose template recurs across documents go, but for their first document. Documents
     of which half or more recurs stay whole, so that the next stage can tell copies."""
-    return _without_lines(docs, line_templates.COPY)
+    return _without_lines(docs, COPY)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ leaf, a token is fixed at its place when lines of at least ``min_docs`` document
 there; all others are fields too. What is left is the line's template, as long as at least
 ``FIXED`` of the tokens stay fixed; a line with more fields than that keeps its own tokens.
 A template that occurs in ``min_docs`` documents or more recurs: it stays in the document
-with the smallest doc_id and is dropped from all others. Lines of fewer than ``MIN_TOKENS``
-tokens are never dropped.
+with the smallest doc_id and is dropped from all others, whatever share of them it makes up.
 
-A document of which ``COPY`` of the tokens or more recur is a copy of others as a whole. It
-is left to near-duplicate detection, which keeps one of a group, instead of being torn up.
-What that keeps may still share half of its tokens with others: with ``copy=None`` no document
-is an exception, and a recurring template is dropped from every document but its first.
+Lines of fewer than ``MIN_TOKENS`` tokens have no fields: they recur as they are, if their tokens
+have ``MIN_CHARS`` characters or more (text without spaces), and are never dropped if shorter.
+
+Who wants copies of whole documents left to near-duplicate detection, which keeps one of a group,
+names a share as ``copy``: nothing is dropped from documents of which that share of the tokens
+recurs. Without it no document is an exception.
 
 Only DataFrame expressions, all counts over all documents. Distinct documents are counted in
 two steps, so that a line in a third of all documents meets in no single task; text moves
@@ -32,8 +33,8 @@ from firmlens.functions.lineage import cut
 DEPTH = 3
 MIN_DOCS = 2
 MIN_TOKENS = 4
+MIN_CHARS = 20
 FIXED = 0.8
-COPY = 0.5
 FIELD = "<*>"
 _DOC, _BODY = "_doc_of_lines", "_text_of_lines"
 _KEY = [_DOC, _BODY]
@@ -43,11 +44,12 @@ def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\v\f\r"))
 
 
-def _masked(line: Column) -> Column:
+def _masked(line: Column, min_tokens: int) -> Column:
     """Tokens of a trimmed line that is not empty. Each pattern reads a line once: fields are
-    looked for in lines with a digit, and only from where a token begins."""
+    looked for in lines with a digit and enough tokens, and only from where a token begins."""
     fields = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)
-    return F.split(F.when(line.rlike("[0-9]"), fields).otherwise(line), r"\s+")
+    enough = line.rlike(rf"^(?:\S++\s++){{{min_tokens - 1}}}\S")
+    return F.split(F.when(line.rlike("[0-9]") & enough, fields).otherwise(line), r"\s+")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -62,23 +64,45 @@ def _count_documents(rows: DataFrame, keys: list[str], *more: Column) -> DataFra
     )
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Every line by its leaf and its own hash; no text."""
+def _lines(docs: DataFrame, min_tokens: int, min_chars: int) -> DataFrame:
+    """Every line by its leaf and its own hash, and whether it is long enough; no text."""
     lines = _keyed(docs).where("text IS NOT NULL").select(
         *_KEY, F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     lines = lines.select(*_KEY, "line_no", _trimmed(F.col("line")).alias("line")).where("line != ''")
-    lines = lines.select(*_KEY, "line_no", _masked(F.col("line")).alias("tokens"))
+    lines = lines.select(*_KEY, "line_no", _masked(F.col("line"), min_tokens).alias("tokens"))
     return lines.select(
         *_KEY,
         "line_no",
         F.size("tokens").alias("n"),
+        ((F.size("tokens") >= min_tokens) | (F.length(F.array_join("tokens", "")) >= min_chars)).alias("enough"),
         F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"),
         F.xxhash64("tokens").alias("whole"),
     )
 
 
-def _generalised(docs: DataFrame, kinds: DataFrame, min_docs: int, fixed: float) -> DataFrame:
+def _supported(found: DataFrame, kinds: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """``leaf, place, token`` that lines of at least ``min_docs`` different documents have.
+
+    A kind of line in so many documents is enough by itself. Each other kind is in fewer than
+    ``min_docs``, so their documents can be listed and counted once, whatever their kinds."""
+    spot = ["leaf", "place", "token"]
+
+    def tokens(rows: DataFrame, *more: str) -> DataFrame:
+        exploded = rows.select("leaf", *more, F.posexplode("tokens").alias("place", "token"))
+        return exploded.where(F.col("token") != FIELD).withColumn("token", F.xxhash64("token"))
+
+    kind = ["leaf", "whole"]
+    alone = kinds.where("docs = 1").select(*kind, *[f"first.{name}" for name in _KEY])
+    few = cut(kinds.where((F.col("docs") > 1) & (F.col("docs") < min_docs)).select(kind))
+    held = alone.unionByName(lines.join(few, kind, "left_semi").select(*kind, *_KEY).distinct())
+    held = tokens(found.where(F.col("docs") < min_docs).join(held, kind), *_KEY)
+    counted = held.groupBy(spot).agg(F.count_distinct(*_KEY).alias("support")).where(F.col("support") >= min_docs)
+    often = tokens(found.where(F.col("docs") >= min_docs))
+    return often.select(spot).unionByName(counted.select(spot)).distinct()
+
+
+def _generalised(docs: DataFrame, kinds: DataFrame, lines: DataFrame, min_docs: int, min_tokens: int, fixed: float) -> DataFrame:
     """``leaf, whole, general``: templates of the lines in leaves with several kinds."""
     several = kinds.groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1")
     chosen = kinds.join(cut(several.select("leaf")), "leaf", "left_semi")
@@ -90,14 +114,13 @@ def _generalised(docs: DataFrame, kinds: DataFrame, min_docs: int, fixed: float)
     # Repeated rows would bring their lines again.
     found = texts.join(cut(wanted), _KEY).withColumn("lines", F.split("text", "\n"))
     found = found.select(F.explode("wanted").alias("w"), "lines").select(
-        "w.leaf", "w.whole", "w.docs", _masked(_trimmed(F.element_at("lines", F.col("w.line_no") + 1))).alias("tokens")
+        "w.leaf", "w.whole", "w.docs", _masked(_trimmed(F.element_at("lines", F.col("w.line_no") + 1)), min_tokens).alias("tokens")
     )
     found = cut(found.dropDuplicates(["leaf", "whole"]))
     tokens = found.select("leaf", "whole", "docs", F.posexplode("tokens").alias("place", "token"))
     tokens = tokens.where(F.col("token") != FIELD).withColumn("token", F.xxhash64("token"))
     spot = ["leaf", "place", "token"]
-    kept = tokens.groupBy(spot).agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-    stays = tokens.join(cut(kept.select(spot)), spot, "left_semi")
+    stays = tokens.join(cut(_supported(found, chosen, lines, min_docs)), spot, "left_semi")
     templates = stays.groupBy("leaf", "whole").agg(
         F.xxhash64(F.array_sort(F.collect_list(F.struct("place", "token")))).alias("general"),
         F.count("*").alias("fixed"),
@@ -112,16 +135,17 @@ def find_recurring(
     min_docs: int = MIN_DOCS,
     min_tokens: int = MIN_TOKENS,
     fixed: float = FIXED,
-    copy: float | None = COPY,
+    copy: float | None = None,
+    min_chars: int = MIN_CHARS,
 ) -> DataFrame:
     """Of each document with recurring lines: how many tokens it has and how many of them
     recur, and the numbers of the lines to drop. Without ``copy`` no document is left whole.
     Runs jobs."""
-    lines = cut(_lines(docs))
+    lines = cut(_lines(docs, min_tokens, min_chars))
     at = F.min(F.struct(*_KEY, "line_no")).alias("at")
-    long_lines = lines.where(F.col("n") >= min_tokens)
+    long_lines = lines.where("enough")
     kinds = cut(_count_documents(long_lines, ["leaf", "whole"], at))
-    general = _generalised(docs, kinds, min_docs, fixed)
+    general = _generalised(docs, kinds, long_lines, min_docs, min_tokens, fixed)
     template = F.coalesce("general", "whole")
     placed = long_lines.join(general, ["leaf", "whole"], "left").select(*_KEY, "line_no", "n", "leaf", template.alias("template"))
     placed = cut(placed)
@@ -151,7 +175,7 @@ def drop_recurring(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Each row's doc_id, its lines and tokens, those that recur, and what is dropped."""
+    """Each row's doc_id, the number of its lines, and which of them are dropped, and how many."""
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
     rows = _keyed(docs.select("doc_id", "text")).select(
         "doc_id", *_KEY, F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines")
@@ -161,5 +185,4 @@ def report(docs: DataFrame, found: DataFrame) -> DataFrame:
         "n_lines",
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.array_join(F.col("drop").cast("array<string>"), ","), F.lit("")).alias("dropped"),
-        F.coalesce("copied", F.lit(False)).alias("copied"),
     )

@@ -53,22 +53,24 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
   FROM documents WHERE text IS NOT NULL
+), raw AS (
+  SELECT doc_id, line_no, list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '') AS words FROM lines
 ), t AS (
-  SELECT doc_id, line_no, list_transform(
-    list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> ''),
-    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{L.FIELD}' ELSE x END) AS tokens
-  FROM lines
+  SELECT doc_id, line_no, CASE WHEN len(words) < {L.MIN_TOKENS} THEN words ELSE list_transform(words,
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{L.FIELD}' ELSE x END) END AS tokens
+  FROM raw WHERE len(words) >= {L.MIN_TOKENS} OR length(array_to_string(words, '')) >= {L.MIN_CHARS}
 ), kinds AS (
-  SELECT tokens, count(DISTINCT doc_id) AS docs,
+  SELECT tokens,
     len(tokens) || ' ' || array_to_string(tokens[1:{L.DEPTH}], ' ') AS leaf
-  FROM t WHERE len(tokens) >= {L.MIN_TOKENS} GROUP BY tokens
+  FROM t GROUP BY tokens
 ), several AS (SELECT leaf FROM kinds GROUP BY leaf HAVING count(*) > 1),
 placed AS (
-  SELECT leaf, tokens, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place
+  SELECT leaf, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place
   FROM kinds WHERE leaf IN (SELECT leaf FROM several)
 ), support AS (
-  SELECT leaf, place, token, sum(docs) >= {L.MIN_DOCS} AS stays
-  FROM placed WHERE token <> '{L.FIELD}' GROUP BY ALL
+  SELECT leaf, place, token, count(DISTINCT doc_id) >= {L.MIN_DOCS} AS stays
+  FROM placed JOIN (SELECT DISTINCT doc_id, tokens FROM t) USING (tokens)
+  WHERE token <> '{L.FIELD}' GROUP BY ALL
 ), general AS (
   SELECT p.leaf, p.tokens, count(*) FILTER (stays) AS fixed,
     string_agg(CASE WHEN stays THEN p.token ELSE '{L.FIELD}' END, ' ' ORDER BY p.place) AS template
@@ -78,23 +80,16 @@ placed AS (
   SELECT k.tokens, k.leaf, coalesce('general ' || g.template, 'whole ' || array_to_string(k.tokens, ' ')) AS template
   FROM kinds k LEFT JOIN general g ON g.tokens = k.tokens AND g.fixed >= {L.FIXED} * len(k.tokens)
 ), used AS (
-  SELECT t.doc_id, t.line_no, len(t.tokens) AS n, m.leaf, m.template FROM t JOIN template m ON m.tokens = t.tokens
+  SELECT t.doc_id, t.line_no, m.leaf, m.template FROM t JOIN template m ON m.tokens = t.tokens
 ), recurring AS (
   SELECT leaf, template, min(doc_id) AS first FROM used GROUP BY ALL HAVING count(DISTINCT doc_id) >= {L.MIN_DOCS}
 ), marked AS (
-  SELECT u.doc_id, sum(u.n) AS again,
-    list(u.line_no ORDER BY u.line_no) FILTER (u.doc_id <> r.first) AS drop
+  SELECT u.doc_id, list(u.line_no ORDER BY u.line_no) FILTER (u.doc_id <> r.first) AS drop
   FROM used u JOIN recurring r ON r.leaf = u.leaf AND r.template = u.template GROUP BY u.doc_id
-), totals AS (SELECT doc_id, sum(len(tokens)) AS n FROM t GROUP BY doc_id),
-judged AS (
-  SELECT m.doc_id, again >= n * {L.COPY} AS copied,
-    CASE WHEN again >= n * {L.COPY} THEN [] ELSE coalesce(drop, []) END AS drop
-  FROM marked m JOIN totals USING (doc_id)
 )
 SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
-  coalesce(len(drop), 0)::BIGINT AS n_dropped, coalesce(array_to_string(drop, ','), '') AS dropped,
-  coalesce(copied, FALSE) AS copied
-FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id
+  coalesce(len(drop), 0)::BIGINT AS n_dropped, coalesce(array_to_string(drop, ','), '') AS dropped
+FROM documents d LEFT JOIN marked j ON j.doc_id = d.doc_id
 """
 
 _HEX = "(strpos('0123456789abcdef', substr(h || '0', (5 * i) // 4 + {}, 1)) - 1)"

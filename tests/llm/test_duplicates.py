@@ -6,6 +6,7 @@ import re
 
 import pytest
 from cases import no_documents, odd_documents, prose
+from pyspark.sql import functions as F
 
 from firmlens.llm import line_templates, near_dup
 from firmlens.llm.components import join_components
@@ -160,24 +161,30 @@ def test_components_of_paths_and_stars(spark):
     assert sorted(map(sorted, groups.values())) == [list(range(1, 60)), list(range(100, 161)), [200]]
 
 
-def brute_lines(docs):
+def brute_lines(docs, copy=None):
     def tokens(line):
-        return ["<*>" if re.search("[0-9]", t) else t for t in line.split()]
+        words = line.split()
+        if len(words) < line_templates.MIN_TOKENS:
+            return words
+        return ["<*>" if re.search("[0-9]", t) else t for t in words]
+
+    def enough(words):
+        return len(words) >= line_templates.MIN_TOKENS or len("".join(words)) >= line_templates.MIN_CHARS
 
     kinds = collections.defaultdict(set)
     for doc_id, text in docs:
         for line in (text or "").split("\n"):
-            if len(own := tuple(tokens(line))) >= line_templates.MIN_TOKENS:
-                kinds[own].add(doc_id)
+            if enough(line.split()):
+                kinds[tuple(tokens(line))].add(doc_id)
     leaf = lambda m: (len(m), m[: line_templates.DEPTH])
     leaves = collections.Counter(map(leaf, kinds))
-    support = collections.Counter()
+    support = collections.defaultdict(set)
     for kind, holders in kinds.items():
         for i, t in enumerate(kind):
-            support[leaf(kind), i, t] += len(holders)
+            support[leaf(kind), i, t] |= holders
     template = {}
     for kind in kinds:
-        fixed = tuple(t if t != "<*>" and support[leaf(kind), i, t] >= 2 else None for i, t in enumerate(kind))
+        fixed = tuple(t if t != "<*>" and len(support[leaf(kind), i, t]) >= 2 else None for i, t in enumerate(kind))
         general = leaves[leaf(kind)] > 1 and sum(t is not None for t in fixed) >= line_templates.FIXED * len(kind)
         template[kind] = (leaf(kind), fixed) if general else kind
     where = collections.defaultdict(set)
@@ -188,15 +195,16 @@ def brute_lines(docs):
         lines = [tuple(tokens(x)) for x in (text or "").split("\n")]
         again = [i for i, k in enumerate(lines) if k in kinds and len(where[template[k]]) > 1]
         drop = [i for i in again if doc_id != min(where[template[lines[i]]])]
-        copied = bool(again) and sum(len(lines[i]) for i in again) >= line_templates.COPY * sum(map(len, lines))
-        out[doc_id] = ("" if copied else ",".join(map(str, drop)), copied)
+        again_tokens, all_tokens = sum(len(lines[i]) for i in again), sum(map(len, lines))
+        copied = copy is not None and bool(again) and again_tokens >= copy * all_tokens
+        out[doc_id] = "" if copied else ",".join(map(str, drop))
     return out
 
 
 def test_line_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     rows = op7_line_templates(spark, SF_DIR).collect()
-    assert {r.doc_id: (r.dropped, r.copied) for r in rows} == brute_lines(docs)
+    assert {r.doc_id: r.dropped for r in rows} == brute_lines(docs)
     assert all(r.n_dropped == len([x for x in r.dropped.split(",") if x]) for r in rows)
     assert sum(r.n_dropped for r in rows) > 20
 
@@ -227,18 +235,44 @@ def test_long_passage_stays_in_one_document(spark):
     assert all(prose(90, 100 + r.doc_id) in r.text and prose(90, 200 + r.doc_id) in r.text for r in out)
 
 
-def test_copies_are_left_whole(spark):
+def test_copies_keep_what_only_they_have_unless_they_are_to_stay_whole(spark):
     copy = "\n".join(prose(30, i) for i in range(5))
-    docs = [(1, copy), (2, copy), (3, copy + "\nand one more line that only this one has")]
+    own = "and one more line that only this one has"
+    docs = [(1, copy), (2, copy), (3, copy + "\n" + own)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     out = line_templates.drop_recurring(frame, line_templates.find_recurring(frame))
+    assert sorted(map(tuple, out.collect())) == [(1, copy), (2, ""), (3, own)]
+    out = line_templates.drop_recurring(frame, line_templates.find_recurring(frame, copy=0.5))
     assert sorted(map(tuple, out.collect())) == docs
 
 
+def test_lines_without_spaces_recur_as_they_are(spark):
+    long = "昔々あるところに2人のお爺さんとお婆さんが住んでいました"
+    docs = [(1, f"{long}\n短い行"), (2, f"{long}\n短い行"), (3, long.replace("2", "3")), (4, "All rights reserved")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = line_templates.drop_recurring(frame, line_templates.find_recurring(frame))
+    assert sorted(map(tuple, out.collect())) == [docs[0], (2, "短い行"), docs[2], docs[3]]
+
+
+@pytest.mark.parametrize("min_docs", [2, 3])
+def test_support_counts_a_document_once(spark, min_docs):
+    # Document 1 alone has "d" in two kinds of lines; the others bring kinds of their own.
+    docs = [(1, "A B C d e\nA B C d f"), *[(i, f"A B C {'ghk'[i - 2]} e") for i in range(2, min_docs + 2)]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = line_templates.find_recurring(frame, min_docs=min_docs)
+    # "A B C <*> e" has four of five tokens fixed; "A B C d f" has three.
+    out = {r.doc_id: r.text for r in line_templates.drop_recurring(frame, found).collect()}
+    assert out == {1: docs[0][1], **{i: "" for i, _ in docs[1:]}}
+
+
 def test_odd_documents_keep_rows_and_columns(spark):
     docs = odd_documents(spark)
     found = line_templates.find_recurring(docs)
     out = line_templates.drop_recurring(docs, found)
     assert out.columns == docs.columns
-    assert sorted(map(repr, out.collect())) == sorted(map(repr, docs.collect()))
+    # Rows 7 are copies of row 1, of one line: nothing is left of them, and all else is as it was.
+    wanted = docs.withColumn("text", F.when(F.col("doc_id") == 7, "").otherwise(F.col("text")))
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, wanted.collect()))
+    whole = line_templates.drop_recurring(docs, line_templates.find_recurring(docs, copy=0.5))
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, docs.collect()))
     assert line_templates.report(docs, found).count() == docs.count()

@@ -155,6 +155,41 @@ def test_long_items_are_found(size):
     assert all(len(found) == 1 for found in leaked(item, texts))
 
 
+def test_one_anchor_left_reaches_the_recall():
+    """All anchors but one are replaced: one window alone has to agree in some table."""
+    found, count = {}, {5: 200, 8: 300, 10: 300, 15: 300, 20: 300, 31: 300, 59: 300, 200: 60, 400: 30}
+    for size in count:
+        rng, allowed, found[size] = random.Random(size), decontaminate.edits_allowed(size), 0
+        for n in range(count[size]):
+            item = [f"i{n}w{i}" for i in range(size)]
+            rng.shuffle(item)
+            item = [w + "x" * rng.randrange(9) for w in item]
+            anchors = sorted(range(size), key=lambda i: (-len(item[i]), i))[: allowed + 1]
+            left = rng.choice(anchors)
+            run = [f"other{i}" if i in anchors and i != left else w for i, w in enumerate(item)]
+            found[size] += len(leaked(item, [[*distinct("before", 9), *run, *distinct("after", 9)]])[0])
+    assert sum(found.values()) >= decontaminate.RECALL * sum(count.values())
+    # Each size by itself, but for three standard deviations of its draws.
+    assert all(found[x] >= decontaminate.RECALL * n - 3 * (n * (1 - decontaminate.RECALL)) ** 0.5 for x, n in count.items())
+
+
+def test_tables_grow_with_the_recall_not_with_the_length():
+    for shape in ((4, 8), (16, 16), (0, 32)):
+        tables = [decontaminate.tables_for(shape, recall=recall) for recall in (0.5, 0.9, 0.99)]
+        assert tables == sorted(tables) and tables[0] < tables[-1]
+    # Sixteen times the length.
+    assert decontaminate.tables_for((256, 256)) <= 4 * decontaminate.tables_for((16, 16))
+    assert decontaminate.tables_for((16, 16), similarity=1.0) == 1
+
+
+def test_candidates_come_from_the_tables():
+    item = distinct("i", 30)
+    block = decontaminate.Items([(1, item)])
+    assert decontaminate.Finder(block).find([" ".join(item)])[0]
+    block.tables = {shape: [] for shape in block.tables}
+    assert decontaminate.Finder(block).find([" ".join(item)]) == [[]]
+
+
 def test_clean_and_odd_documents(spark):
     docs = odd_documents(spark)
     bench = spark.createDataFrame([(1, "some words of a question that no document holds at all")], "item_id long, text string")

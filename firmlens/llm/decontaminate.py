@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import cut
+from firmlens.llm.workers import release
 
 SIMILARITY = 0.8
 RECALL = 0.99
@@ -378,7 +379,12 @@ def _column(shared):
     def leaks(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Finder(shared.value)
         for batch in texts:
-            yield pd.Series(finder.find(batch.tolist()), dtype=object)
+            found = pd.Series(finder.find(batch.tolist()), dtype=object)
+            del batch  # before the next one comes
+            release()
+            yield found
+        del finder
+        release()
 
     # Else a filter on the result would run it a second time.
     return leaks.asNondeterministic()

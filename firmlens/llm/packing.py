@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from firmlens.functions.lineage import cut
 from firmlens.llm.token_ids import END_ID, encoder
+from firmlens.llm.workers import release
 
 LENGTH = 2048
 OPEN_WINDOWS = 64
@@ -137,6 +138,8 @@ def pack_documents(
                     yield packer.take()
         packer.finish()
         yield packer.take()
+        del packer, texts
+        release()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = cut(docs.mapInPandas(first, SCHEMA), "zstd")

@@ -15,7 +15,7 @@ from array import array
 from collections.abc import Callable, Iterable
 
 END_ID = 1
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 100_000  # of each of two generations
 CACHED_CHARS = 64
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
 _PLAIN = re.compile(f"[{_LETTERS}{_MARKS}0-9 \t\n\r]*")
@@ -38,24 +38,33 @@ def _packed(ids: Iterable[int]) -> bytes:
 
 
 class _Pieces(dict):
-    """Piece -> ids, filled from the model on first use."""
+    """Piece -> ids, filled from the model on first use. Pieces that were not asked for since
+    the last turn but one are forgotten; frequent ones stay."""
 
     def __init__(self, model):
         super().__init__()
         self.model, self.alphabet = model, _byte_alphabet()
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        spelled = piece if piece.isascii() else "".join(self.alphabet[b] for b in piece.encode())
-        ids = _packed([t.id for t in self.model.tokenize(spelled)])
+        ids = self.older.get(piece)
+        if ids is None:
+            spelled = piece if piece.isascii() else "".join(self.alphabet[b] for b in piece.encode())
+            ids = _packed([t.id for t in self.model.tokenize(spelled)])
         if len(piece) <= CACHED_CHARS:
             self[piece] = ids
         return ids
 
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids. One per Python worker.
+    """Texts to little-endian unsigned 32-bit ids. One per task, so that no
+    vocabulary or cache waits in an idle worker.
 
-    The cache only saves time: it is emptied when it is full, and long pieces never enter.
+    The cache only saves time: it is bounded, and long pieces never enter.
     """
 
     def __init__(self, path: str):
@@ -83,19 +92,13 @@ class Encoder:
         if not text:
             return b""
         if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
+            self.pieces.turn()
         if self._plain(text):
             return self._by_pieces(text)
         chunks = text.replace("\n", " ").split(" ")
         return b"".join(self._by_pieces(x) if self._plain(x) else self._whole(x) for x in chunks)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: Callable[[], str]) -> Encoder:
-    """This worker's encoder; ``vocabulary`` gives the file's path on the worker."""
-    path = vocabulary()
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """An encoder for one task; ``vocabulary`` gives the file's path on the worker."""
+    return Encoder(vocabulary())

@@ -1,6 +1,7 @@
 """Encoding, packing and wavelet shards, held against the library and brute force."""
 
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from firmlens.llm import packing, wavelet
+from firmlens.llm import packing, token_ids, wavelet
 from firmlens.llm.queries import op1_packing, op8_wavelet, vocabulary
 from firmlens.llm.token_ids import Encoder
 
@@ -134,3 +135,15 @@ def test_wavelet_query(spark):
         ids = by_library(r.text)
         assert tuple(rows[r.doc_id]) == (r.doc_id, at, len(ids), crc(ids))
         at += len(ids)
+
+
+def test_an_encoder_ends_with_its_task_and_its_cache_stays_small(monkeypatch):
+    """Idle workers wait beside the next stage; what they keep counts as the executor's memory."""
+    assert weakref.ref(token_ids.encoder(vocabulary))() is None
+    monkeypatch.setattr(token_ids, "CACHED_PIECES", 5)
+    small, whole = token_ids.encoder(vocabulary), token_ids.encoder(vocabulary)
+    for i in range(40):
+        text = f"the word {chr(97 + i % 26)}{chr(97 + i // 26)}q of a list"
+        assert small.encode(text) == whole._whole(text)
+        assert "the" in small.pieces, "frequent pieces stay"
+        assert len(small.pieces) + len(small.pieces.older) <= 2 * (5 + 6)

@@ -139,7 +139,8 @@ def test_wavelet_query(spark):
 
 def test_an_encoder_ends_with_its_task_and_its_cache_stays_small(monkeypatch):
     """Idle workers wait beside the next stage; what they keep counts as the executor's memory."""
-    assert weakref.ref(token_ids.encoder(vocabulary))() is None
+    left = weakref.ref(token_ids.encoder(vocabulary))
+    assert left() is None
     monkeypatch.setattr(token_ids, "CACHED_PIECES", 5)
     small, whole = token_ids.encoder(vocabulary), token_ids.encoder(vocabulary)
     for i in range(40):

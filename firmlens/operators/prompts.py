@@ -18,9 +18,9 @@ def link_prompts(links: DataFrame, companies: DataFrame) -> DataFrame:
     item = F.concat(
         F.lit("URL: "), "url", F.lit("\nTitle: "), "title", F.lit("\nSnippet: "), "snippet"
     )
-    items = F.array_sort(F.collect_list(F.struct("pos", item.alias("item"))))
+    items = F.sort_array(F.collect_list(F.struct("pos", item.alias("item"))))
     blocks = links.groupBy(*REQUEST).agg(
-        F.array_join(F.transform(items, lambda i: i["item"]), LINK_SEPARATOR).alias("links")
+        F.array_join(items["item"], LINK_SEPARATOR).alias("links")
     )
     company, listed = F.col("company_name"), F.col("links")
     prompt = F.when(

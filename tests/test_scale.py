@@ -7,6 +7,7 @@ from firmlens.functions import text as X
 from firmlens.functions.declared import read
 from firmlens.operators import curate, extract, score_links
 from firmlens.operators.curate import REQUEST
+from workload import registry, tables
 
 
 def _plan(df):
@@ -82,3 +83,24 @@ def test_requests_without_a_valid_response_keep_their_first_links(spark):
     responses = spark.createDataFrame([(1, "ERP", raw)], "company_id long, search_type string, raw string")
     found = curate.curate_with_responses(links, responses).orderBy(*REQUEST, "rank")
     assert [(r.company_id, r.url) for r in found.collect()] == [(1, "u4"), (2, "u0"), (2, "u1"), (2, "u2")]
+
+
+def test_answers_of_a_model_are_read_once(spark, tmp_path):
+    for name, rows, schema in (
+        ("nation", [(1, "CHINA")], "n_nationkey int, n_name string"),
+        ("customer", [(1, "A", 1, "BUILDING", 5.0)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string, c_acctbal double"),
+        ("orders", [(7, 1, "F", "1-URGENT", 10.0, "1995-01-01"), (8, 1, "O", "5-LOW", 10.0, "1995-01-01")], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_totalprice double, o_orderdate string"),
+        ("lineitem", [(7, 2, 3, 4, 1.0, "R", "O"), (7, 1, 3, 4, 1.0, "N", "F"), (7, 3, 9, 4, 1.0, "A", "F")], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_returnflag string, l_linestatus string"),
+        ("pages", [(9, "http://p/9", ""), (9, "http://p/9b", "")], "page_id long, url string, html string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = registry.structured_inference(spark, str(tmp_path))
+    conditions = [line for line in _plan(found).splitlines() if "Filter" in line]
+    assert not any("parse_json" in line for line in conditions)
+    reports = "https://filings.example.com/"
+    given = {("erp", f"{reports}7"), ("erp", "http://p/9"), ("erp", "http://p/9b"), ("revenue", f"{reports}7"), ("revenue", f"{reports}8")}
+    assert {(r.search_type.lower(), r.url) for r in found.where("valid").collect()} == given
+    raw = tables.raw_hits(spark, str(tmp_path))
+    # A line stays a narrow row until it has its place: no list of lines is built.
+    assert "collect_list(struct(l_linenumber" not in _plan(raw)
+    assert sorted((r.pos, r.title) for r in raw.where("lower(search_type) = 'erp'").collect())[:2] == [(0, None), (1, "A careers: Oracle consultant")]

@@ -36,10 +36,9 @@ def combined_content(linked: DataFrame) -> DataFrame:
     # The test for blank pages sits in the aggregate: as a filter it would move down
     # to the scan and convert every page a second time.
     page = F.when(F.trim("markdown") != "", F.struct("type_ord", "rank", "markdown"))
-    pages = linked.groupBy("company_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    texts = F.transform("pages", lambda p: p["markdown"])
+    pages = linked.groupBy("company_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
     return pages.where(F.size("pages") > 0).select(
-        "company_id", F.array_join(texts, PAGE_SEPARATOR).alias("content")
+        "company_id", F.array_join("pages.markdown", PAGE_SEPARATOR).alias("content")
     )
 
 

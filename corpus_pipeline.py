@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmlens.functions.lineage import cut
+from firmlens.functions.lineage import settled
 from firmlens.llm import decontaminate, line_templates, near_dup, packing, subwords, toxicity
 from firmlens.llm.queries import folder, table, vocabulary
 
@@ -43,7 +43,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays. Of those that stay, lines that
     recur go as well, whatever share of a document they are."""
-    kept = cut(near_dup.drop_near_duplicates(docs, SHINGLE_WORDS))
+    kept = settled(spark, lambda: near_dup.drop_near_duplicates(docs, SHINGLE_WORDS))
     return _without_lines(kept, None)
 
 

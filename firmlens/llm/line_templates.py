@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmlens.functions.lineage import cut
+from firmlens.functions.lineage import cut, settled
 
 DEPTH = 3
 MIN_DOCS = 2
@@ -140,7 +140,11 @@ def find_recurring(
 ) -> DataFrame:
     """Of each document with recurring lines: how many tokens it has and how many of them
     recur, and the numbers of the lines to drop. Without ``copy`` no document is left whole.
-    Runs jobs."""
+    Runs jobs, whose own tables are dropped."""
+    return settled(docs.sparkSession, lambda: _found(docs, min_docs, min_tokens, fixed, copy, min_chars))
+
+
+def _found(docs: DataFrame, min_docs: int, min_tokens: int, fixed: float, copy: float | None, min_chars: int) -> DataFrame:
     lines = cut(_lines(docs, min_tokens, min_chars))
     at = F.min(F.struct(*_KEY, "line_no")).alias("at")
     long_lines = lines.where("enough")
@@ -162,7 +166,7 @@ def find_recurring(
     copied = F.lit(False) if copy is None else F.col("recurring") >= F.col("tokens") * copy
     found = marked.join(totals, _KEY).withColumn("copied", copied)
     nothing = F.array().cast("array<int>")
-    return cut(found.withColumn("drop", F.when(F.col("copied"), nothing).otherwise(F.col("drop"))))
+    return found.withColumn("drop", F.when(F.col("copied"), nothing).otherwise(F.col("drop")))
 
 
 def drop_recurring(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from firmlens.functions.lineage import cut
+from firmlens.functions.lineage import cut, settled
 from firmlens.llm.components import join_components
 
 WORDS = 4
@@ -164,6 +164,20 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     sets = cut(shingle_sets(docs, words))
     name = ["set_a", "set_b"]
     filled = sets.where("n_shingles > 0")
+    named = settled(docs.sparkSession, lambda: _named(docs, sets, filled, words, percent))
+    empty = F.col("n_shingles") == 0
+    return (
+        filled.select("doc_id", "n_shingles", *name)
+        .join(named, name, "left")
+        .select("doc_id", "n_shingles", "component_id")
+        .unionByName(sets.where(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    )
+
+
+def _named(docs: DataFrame, sets: DataFrame, filled: DataFrame, words: int, percent: int) -> DataFrame:
+    """The component of each class of equal sets."""
+    name = ["set_a", "set_b"]
     classes = cut(filled.groupBy(name).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
     nodes = sets.withColumnRenamed("doc_id", "node").join(classes, ["node", *name])
     nodes = cut(nodes.select("node", "n_shingles", "signature").distinct())
@@ -178,15 +192,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     labels = search.run()
     lowest = labels.groupBy("component").agg(F.min("node").alias("component_id"))
     named = classes.join(labels, "node", "left").join(lowest, "component", "left")
-    named = cut(named.select(*name, F.coalesce("component_id", "node").alias("component_id")))
-    empty = F.col("n_shingles") == 0
-    return (
-        filled.select("doc_id", "n_shingles", *name)
-        .join(named, name, "left")
-        .select("doc_id", "n_shingles", "component_id")
-        .unionByName(sets.where(empty).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    return named.select(*name, F.coalesce("component_id", "node").alias("component_id"))
 
 
 class _Search:

@@ -1,3 +1,7 @@
+import os
+
+import pytest
+
 from firmlens.functions import lineage
 
 
@@ -21,3 +25,40 @@ def test_cut_keeps_rows_and_schema(spark):
     again = lineage.cut(df)
     assert again.schema.simpleString() == df.schema.simpleString()
     assert again.collect() == df.collect()
+
+
+def _tables(spark):
+    return set(os.listdir(lineage.shared_folder(spark).removeprefix("file:")))
+
+
+def test_settled_drops_the_tables_on_its_way(spark):
+    before = _tables(spark)
+
+    def inner():
+        return lineage.cut(lineage.cut(spark.range(3)).where("id > 0"))
+
+    def outer():
+        found = lineage.settled(spark, inner)
+        assert len(_tables(spark) - before) == 1
+        return lineage.cut(found).unionByName(found)
+
+    assert sorted(r.id for r in lineage.settled(spark, outer).collect()) == [1, 1, 2, 2]
+    assert len(_tables(spark) - before) == 1
+    with pytest.raises(ValueError):
+        lineage.settled(spark, lambda: 1 / 0 if lineage.cut(spark.range(2)).isEmpty() else int("x"))
+    assert len(_tables(spark) - before) == 1
+
+
+def test_recurring_lines_and_near_duplicates_leave_only_what_is_read(spark):
+    line_templates = pytest.importorskip("firmlens.llm.line_templates")
+    near_dup = pytest.importorskip("firmlens.llm.near_dup")
+    text = "one two three four five six seven\neight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "a b c d e"), (4, None)], "doc_id long, text string")
+    before = _tables(spark)
+    found = line_templates.find_recurring(docs)
+    assert len(_tables(spark) - before) == 1
+    assert sorted((r.doc_id, r.n_dropped) for r in line_templates.report(docs, found).collect()) == [(1, 0), (2, 2), (3, 0), (4, 0)]
+    before = _tables(spark)
+    classes = near_dup.components(docs)
+    assert len(_tables(spark) - before) == 2
+    assert sorted((r.doc_id, r.component_id) for r in classes.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]

@@ -417,7 +417,8 @@ def _small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def drop_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that name their component, once for each doc_id, with all columns."""
-    kept = cut(components(docs, words, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    chosen = lambda: components(docs, words, percent).where("kept AND doc_id IS NOT NULL")
+    kept = settled(docs.sparkSession, lambda: chosen().select("doc_id").distinct())
     own = Window.partitionBy("doc_id").orderBy("text")
     place = "_place_among_equal_ids"
     named = docs.join(kept, "doc_id", "left_semi").withColumn(place, F.row_number().over(own))

@@ -1,6 +1,9 @@
 import os
+import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from firmlens.functions import lineage
 
@@ -62,3 +65,32 @@ def test_recurring_lines_and_near_duplicates_leave_only_what_is_read(spark):
     classes = near_dup.components(docs)
     assert len(_tables(spark) - before) == 2
     assert sorted((r.doc_id, r.component_id) for r in classes.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def _shuffles_on_disk(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return set(re.findall(r"shuffle_\d+", files.mkString(" ")))
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(name), _shuffles_on_disk(spark)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert lineage.cut(counted).count() == 7
+    waited = time.time() + 10
+    # Files go soon after the query; one is of the count above, which is no table.
+    while len(_shuffles_on_disk(spark) - before) > 1 and time.time() < waited:
+        time.sleep(0.2)
+    assert len(_shuffles_on_disk(spark) - before) <= 1
+    assert spark.conf.get(name) == setting
+    assert sorted(r["count"] for r in counted.collect()) == [142, 143, 143, 143, 143, 143, 143]
+
+
+def test_kept_documents_leave_only_their_ids(spark):
+    near_dup = pytest.importorskip("firmlens.llm.near_dup")
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "a b c d e"), (None, text)], "doc_id long, text string")
+    before = _tables(spark)
+    kept = near_dup.drop_near_duplicates(docs)
+    assert len(_tables(spark) - before) == 1
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]

@@ -44,6 +44,16 @@ def test_scores_do_not_depend_on_labels_of_the_row(spark):
     assert toxicity.train([("a", 1)] * 5) is None and quality.train([]) is None
 
 
+def test_words_of_few_texts_are_learned_too():
+    texts = [("good plain words here", 0), ("what an idiot", 1)] * 30
+    texts[5], texts[6] = ("xyzzq", 1), ("wvvkj", 0)  # neither is set aside
+    model = toxicity.train(texts)
+    score = toxicity.Scorer(model).score
+    assert score("xyzzq") > score("never seen") > score("wvvkj")
+    held = {b for i, (x, _) in enumerate(texts) if i % toxicity.SET_ASIDE for w in x.split() for b in subwords.buckets_of(w)}
+    assert {*np.flatnonzero(model.table.any(axis=1))} == held
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     bad = toxicity.train([("plain words", 0), ("idiot", 1)] * 20)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from firmlens.functions import revenue as R
 from firmlens.functions import rubric
 from firmlens.functions import text as X
-from firmlens.functions.markdown import markdown
+from firmlens.functions.markdown import markdown, readable
 
 
 def column(spark, values, expression):
@@ -43,6 +43,24 @@ def test_markdown(spark):
     assert column(spark, [None], markdown) == [None]
 
 
+def test_readable_has_the_words_of_markdown_without_its_clean_up(spark):
+    pages = [
+        "<h2>A\t b</h2><p>c \n \n\n\n d<b>e</b>f<i>g</i>h<u>i</u>j</p>",
+        "x\r\n\f<td>y<li>z<br>1 &amp;amp; 2&nbsp;3<a href='u v'>w</a><img alt='pic'>",
+        "<script>no</script>k<!-- no -->l<h1>m",
+        " \n ",
+        "",
+        None,
+    ]
+    df = spark.createDataFrame([(p,) for p in pages], "html string").select(
+        X.tokens(markdown(F.col("html"))).alias("wanted"), X.tokens(readable(F.col("html"))).alias("got"), readable(F.col("html")).alias("text")
+    )
+    rows = df.collect()
+    assert [r.got for r in rows] == [r.wanted for r in rows]
+    assert rows[0].got == ["a", "b", "c", "d", "e", "f", "g", "hij"] and rows[-1].got is None
+    assert rows[3].text == " \n "
+
+
 def test_strip_and_tokens(spark):
     assert column(spark, ["\t a b \n\f"], X.strip) == ["a b"]
     assert column(spark, ["Über-Größe, 12x!"], X.tokens) == [["über", "größe", "12x"]]
